@@ -11,6 +11,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitewright.functions.expressions import bind
+
 # Patterns of the markup that is looked for.
 HIDDEN_BLOCKS = [
     r"(?is)<script\b.*?</script\s*>",
@@ -49,9 +51,11 @@ def decode_entities(text: Column) -> Column:
         known = F.coalesce(F.element_at(named, piece), F.when(code.isNotNull(), numeric), piece)
         return F.when(piece.rlike("^" + ENTITY + "$"), known).otherwise(piece)
 
-    pieces = F.regexp_extract_all(text, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
-    decoded = F.array_join(F.transform(pieces, decode_one), "")
-    return F.when(text.contains("&"), decoded).otherwise(text)
+    def decode_all(raw: Column) -> Column:
+        pieces = F.regexp_extract_all(raw, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
+        return F.when(raw.contains("&"), F.array_join(F.transform(pieces, decode_one), "")).otherwise(raw)
+
+    return bind(text, decode_all)
 
 
 def strip_tags(text: Column, by: str = " ") -> Column:
@@ -74,9 +78,11 @@ def page_text(html: Column) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """Value of an attribute of one opening tag, null if the tag does not have it."""
     pattern = rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
-    raw = F.regexp_extract(tag, pattern, 1)
-    bare = F.regexp_replace(raw, r"""^["']|["']$""", "")
-    return F.when(raw != "", decode_entities(bare))
+    bare = r"""^["']|["']$"""
+    return bind(
+        F.regexp_extract(tag, pattern, 1),
+        lambda raw: F.when(raw != "", decode_entities(F.regexp_replace(raw, bare, ""))),
+    )
 
 
 def remove_popups(html: Column, words: tuple[str, ...] = POPUP_WORDS) -> Column:
@@ -92,8 +98,6 @@ def remove_popups(html: Column, words: tuple[str, ...] = POPUP_WORDS) -> Column:
     cut_tag = (
         rf"""(?s)^<[^>]*?\s(?i:id|class)\s*=\s*(?:"[^">]*(?:{any_word})|'[^'>]*(?:{any_word})|[^\s"'>]*(?:{any_word}))"""
     )
-    shown = _replace_all(html, CODE_BLOCKS, "")
-    pieces = F.split(shown, r"(?i)(?=</?div\b)")
     start = F.struct(
         F.lit(0).alias("depth"),
         F.lit(0).alias("cut"),
@@ -114,8 +118,12 @@ def remove_popups(html: Column, words: tuple[str, ...] = POPUP_WORDS) -> Column:
             F.when(keep.isNull(), state["kept"]).otherwise(F.concat(state["kept"], F.array(keep))).alias("kept"),
         )
 
-    folded = F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], ""))
-    return F.when(shown.rlike(suspect), folded).otherwise(shown)
+    def fold(shown: Column) -> Column:
+        pieces = F.split(shown, r"(?i)(?=</?div\b)")
+        folded = F.aggregate(pieces, start, step, lambda state: F.array_join(state["kept"], ""))
+        return F.when(shown.rlike(suspect), folded).otherwise(shown)
+
+    return bind(_replace_all(html, CODE_BLOCKS, ""), fold)
 
 
 def links(html: Column) -> Column:
@@ -127,11 +135,13 @@ def links(html: Column) -> Column:
     elements = F.regexp_extract_all(shown, F.lit(LINK_ELEMENT), F.lit(0))
 
     def read(element: Column) -> Column:
-        tag = F.regexp_extract(element, r"(?s)^<[^>]*>", 0)
-        return F.struct(
-            attribute(tag, "href").alias("href"),
-            F.trim(F.lower(decode_entities(strip_tags(element, "")))).alias("text"),
-            attribute(tag, "hreflang").alias("hreflang"),
+        return bind(
+            F.regexp_extract(element, r"(?s)^<[^>]*>", 0),
+            lambda tag: F.struct(
+                attribute(tag, "href").alias("href"),
+                F.trim(F.lower(decode_entities(strip_tags(element, "")))).alias("text"),
+                attribute(tag, "hreflang").alias("hreflang"),
+            ),
         )
 
     with_href = F.filter(elements, lambda e: e.rlike(r"(?is)^<[^>]*\shref\s*="))

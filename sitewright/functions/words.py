@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitewright.functions.expressions import bind
+
 # Names of the built-in stop lists per language code.
 STOP_LIST_NAMES = {"nl": "dutch", "en": "english", "de": "german", "fr": "french", "es": "spanish"}
 
@@ -23,7 +23,7 @@ SUFFIX_RULES = {
         ("es", ""), ("ly", ""), ("ss", "ss"), ("s", ""), ("y", "i"), ("e", ""),
     ],
     "de": [
-        ("heiten", ""), ("keiten", ""), ("ungen", ""), ("lichen", ""), ("ischen", ""), ("liche", ""), ("heit", ""),
+        ("heiten", "heit"), ("keiten", "keit"), ("ungen", ""), ("lichen", ""), ("ischen", ""), ("liche", ""), ("heit", ""),
         ("keit", ""), ("isch", ""), ("lich", ""), ("igen", ""), ("ung", ""), ("end", ""), ("ern", ""), ("em", ""),
         ("en", ""), ("er", ""), ("es", ""), ("ig", ""), ("ik", ""), ("e", ""), ("s", ""),
     ],
@@ -45,11 +45,6 @@ def clean_text(text: Column, min_length: int = 3, separator: str = "") -> Column
     return F.lower(F.array_join(kept, " "))
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, also where it is used inside a lambda."""
-    return F.transform(F.array(value), body)[0]
-
-
 def stop_list(language: str) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords(STOP_LIST_NAMES[language])
 
@@ -77,13 +72,13 @@ def remove_stopwords(
 def _stem_word(word: Column, rules: list[tuple[str, str]], min_stem: int) -> Column:
     ordered = sorted((suffix for suffix, _ in rules), key=len, reverse=True)
     pattern = rf"^.{{{min_stem},}}?({'|'.join(ordered)})$"
-    suffix = F.regexp_extract(word, pattern, 1)
-    swaps = [(s, r) for s, r in rules if r]
-    stem = F.substring(word, F.lit(1), F.length(word) - F.length(suffix))
-    if swaps:
-        table = F.create_map(*[F.lit(v) for pair in swaps for v in pair])
-        stem = F.concat(stem, F.coalesce(F.element_at(table, suffix), F.lit("")))
-    return stem
+    swaps = F.create_map(*[F.lit(v) for pair in rules if pair[1] for v in pair])
+
+    def cut(suffix: Column) -> Column:
+        stem = F.substring(word, F.lit(1), F.length(word) - F.length(suffix))
+        return F.concat(stem, F.coalesce(F.element_at(swaps, suffix), F.lit("")))
+
+    return bind(F.regexp_extract(word, pattern, 1), cut)
 
 
 def stem_text(
@@ -97,12 +92,12 @@ def stem_text(
 
     Row-local on purpose: a job over the distinct vocabulary would shuffle every token twice.
     """
-    stemmed = None
-    for code in codes:
-        words = F.transform(F.split(text, " +"), lambda word, c=code: _stem_word(word, rules[c], min_stem))
-        joined = F.array_join(words, " ")
-        stemmed = F.when(language == code, joined) if stemmed is None else stemmed.when(language == code, joined)
-    return stemmed
+
+    def stems(code: str) -> Column:
+        words = F.transform(F.split(text, " +"), lambda word: _stem_word(word, rules[code], min_stem))
+        return F.when(language == code, F.array_join(words, " "))
+
+    return F.coalesce(*[stems(code) for code in codes])
 
 
 def count_words(text: Column) -> Column:
@@ -123,8 +118,12 @@ def trigrams(text: Column) -> Column:
     would be quadratic.
     """
     flat = F.regexp_replace(F.lower(text), r"[\s0-9!-/:-@\[-`{-~]+", " ")
-    parts = [F.regexp_extract_all(F.substring(flat, i, 2147483647), F.lit("(?s)..."), F.lit(0)) for i in (1, 2, 3)]
-    return F.concat(*parts)
+
+    def slices(letters: Column) -> Column:
+        starts = [F.substring(letters, i, 2147483647) for i in (1, 2, 3)]
+        return F.concat(*[F.regexp_extract_all(start, F.lit("(?s)..."), F.lit(0)) for start in starts])
+
+    return bind(flat, slices)
 
 
 def language_flag(language: Column, code: str) -> Column:

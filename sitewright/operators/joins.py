@@ -26,11 +26,14 @@ def lookup(
     right: DataFrame,
     key: str,
     row_id: Sequence[str],
+    first_by: str | None = None,
     share: float = HOT_SHARE,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Left join to a table with unique ``key``; rows of hot keys are spread over ``salts`` tasks.
+    """Left join to a table; rows of hot keys are spread over ``salts`` tasks.
 
+    ``key`` is unique on the right, or ``first_by`` names a right column whose smallest value chooses the
+    one row per key; that choice uses the shuffle the join needs anyway.
     Only the few right rows with a hot key are repeated. ``row_id`` names the left columns
     that tell rows apart; they choose the salt, so a retried task chooses the same one. Rows with a null key
     match nothing and get a random-looking salt too, instead of meeting in one task.
@@ -41,6 +44,10 @@ def lookup(
     salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    if first_by:
+        payload = [c for c in right.columns if c not in (key, first_by)]
+        chosen = F.min_by(F.struct(*payload), first_by).alias("_first")
+        salted_right = salted_right.groupBy(key, "_salt").agg(chosen).select(key, "_salt", "_first.*")
     return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
 
 

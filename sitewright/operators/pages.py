@@ -1,7 +1,7 @@
 """Page table lookups and link operators: each fetch of the scraper is a join on the URL.
 
-A page table has one row per normalized URL. Link lists stay inside the page row as long as
-possible; only (page, place, target) rows travel.
+If several pages share a normalized URL, the one with the smallest URL answers. Link lists stay
+inside the page row as long as possible; only (page, place, target) rows travel.
 """
 
 from __future__ import annotations
@@ -21,21 +21,31 @@ CONTACT_WORDS = ("cont",)
 LOCATION_WORDS = ("vest", "loc")
 
 
-def _by_url(pages: DataFrame, url: str, **columns: Column) -> DataFrame:
-    return pages.select(fix_http(F.col(url)).alias("_target"), *[c.alias(n) for n, c in columns.items()])
+def _find(df: DataFrame, row_id: Sequence[str], pages: DataFrame, url: str, **columns: Column) -> DataFrame:
+    """Add ``columns`` of the page whose normalized URL is ``_target``; drops ``_target``."""
+    table = pages.select(
+        fix_http(F.col(url)).alias("_target"), F.col(url).alias("_url"), *[c.alias(n) for n, c in columns.items()]
+    )
+    return lookup(df, table.filter(F.col("_target").isNotNull()), "_target", row_id, first_by="_url").drop("_target")
 
 
 def attach_html(df: DataFrame, row_id: str, url: str, pages: DataFrame, page_url: str, html: str) -> DataFrame:
     """Add ``html`` of the page with the normalized URL, null if there is none."""
     keyed = df.withColumn("_target", fix_http(F.col(url)))
-    return lookup(keyed, _by_url(pages, page_url, html=F.col(html)), "_target", [row_id]).drop("_target")
+    return _find(keyed, [row_id], pages, page_url, html=F.col(html))
+
+
+def attach_column(df: DataFrame, row_id: str, url: str, pages: DataFrame, page_url: str, column: str) -> DataFrame:
+    """Add one column of the page with the normalized URL."""
+    keyed = df.withColumn("_target", fix_http(F.col(url)))
+    return _find(keyed, [row_id], pages, page_url, **{column: F.col(column)})
 
 
 def attach_status(df: DataFrame, row_id: str, url: str, pages: DataFrame, page_url: str, status: str) -> DataFrame:
     """Add the status of the page, 0 if it cannot be reached."""
     keyed = df.withColumn("_target", fix_http(F.col(url)))
-    found = lookup(keyed, _by_url(pages, page_url, _found=F.col(status)), "_target", [row_id])
-    return found.withColumn("status", F.coalesce("_found", F.lit(0))).drop("_target", "_found")
+    found = _find(keyed, [row_id], pages, page_url, _found=F.col(status))
+    return found.withColumn("status", F.coalesce("_found", F.lit(0))).drop("_found")
 
 
 def fetch_rounds(
@@ -113,15 +123,13 @@ def switch_language(
 ) -> DataFrame:
     """Per page ``switched`` (a candidate exists) and ``new_url`` ('' if none is in the language).
 
-    ``languages`` holds (url, language) of all pages; only those in the wanted
-    language take part in the join.
+    ``languages`` holds (url, language) of all pages.
     """
     targets = language_candidates(F.col(html), F.col(url), code, country)
     listed = pages.select(page_id, F.posexplode_outer(targets).alias("place", "candidate"))
     keyed = listed.withColumn("_target", fix_http(F.col("candidate")))
-    wanted = languages.filter(F.col("language") == code)
-    known = lookup(keyed, _by_url(wanted, "url", hit=F.lit(True)), "_target", [page_id, "place"])
-    first = F.min(F.when(F.col("hit"), F.struct("place", "candidate")))
+    known = _find(keyed, [page_id, "place"], languages, "url", _language=F.col("language"))
+    first = F.min(F.when(F.col("_language") == code, F.struct("place", "candidate")))
     return known.groupBy(page_id).agg(
         F.bool_or(F.col("candidate").isNotNull()).alias("switched"),
         F.coalesce(first["candidate"], F.lit("")).alias("new_url"),
@@ -145,9 +153,7 @@ def apply_switch(
     todo = df.filter(needs)
     found = switch_language(todo, row_id, "url", "html", pages.select("url", "language"), code, country)
     found = found.filter(F.col("new_url") != "").select(row_id, "new_url", fix_http(F.col("new_url")).alias("_target"))
-    fetched = lookup(
-        found, _by_url(pages, "url", _html=F.col("html"), _language=F.col("language")), "_target", [row_id]
-    ).drop("_target")
+    fetched = _find(found, [row_id], pages, "url", _html=F.col("html"), _language=F.col("language"))
     changed = todo.join(fetched, row_id, "left")
     for name, new in (("url", "new_url"), ("html", "_html"), ("language", "_language")):
         changed = changed.withColumn(name, F.coalesce(new, name))
@@ -186,7 +192,7 @@ def _match_page_or_linked(
     )
     todo = first.filter(~F.col("_here")).select(row_id, *carried, F.explode(linked).alias("_link"))
     keyed = todo.withColumn("_target", fix_http(F.col("_link")))
-    seen = lookup(keyed, _by_url(pages, "url", _content=content), "_target", [row_id, "_link"])
+    seen = _find(keyed, [row_id, "_link"], pages, "url", _content=content)
     matched = any_match(seen, row_id, there, "_there").filter("_there")
     joined = first.select(row_id, "_here").join(matched, row_id, "left")
     return joined.select(row_id, F.coalesce("_there", "_here").alias("valid"))
@@ -223,19 +229,17 @@ def text_with_frames(df: DataFrame, row_id: str, html: str, pages: DataFrame) ->
 
     A frame that is missing is skipped. Only pages with frames take part in the join.
     """
-    body = df.withColumn("_shown", remove_popups(F.col(html))).withColumn("text", page_text(F.col("_shown")))
-    listed = body.withColumn("_frames", frame_sources(F.col("_shown"))).drop("_shown")
-    framed = listed.filter(F.size("_frames") > 0)
-    asked = framed.select(row_id, F.posexplode("_frames").alias("_place", "_src"))
-    asked = asked.withColumn("_target", fix_http(F.col("_src")))
-    content = page_text(F.col("html"))
-    answers = lookup(asked, _by_url(pages, "url", _content=content), "_target", [row_id, "_place"])
+    may_frame = F.coalesce(F.col(html).rlike(r"(?i)<frame\s"), F.lit(False))
+    plain = df.filter(~may_frame).withColumn("text", page_text(remove_popups(F.col(html))))
+    shown = df.filter(may_frame).withColumn("_shown", remove_popups(F.col(html)))
+    asked = shown.select(row_id, F.posexplode(frame_sources(F.col("_shown"))).alias("_place", "_src"))
+    keyed = asked.withColumn("_target", fix_http(F.col("_src")))
+    answers = _find(keyed, [row_id, "_place"], pages, "url", _content=F.col("html"))
+    texts = answers.withColumn("_content", page_text(F.col("_content")))
     # one group is the frame list of one page, which came out of one row
-    joined = answers.filter(F.col("_content").isNotNull()).groupBy(row_id)
-    ordered = joined.agg(F.array_sort(F.collect_list(F.struct("_place", "_content"))).alias("_parts"))
+    parts = texts.filter(F.col("_content").isNotNull()).groupBy(row_id)
+    ordered = parts.agg(F.array_sort(F.collect_list(F.struct("_place", "_content"))).alias("_parts"))
     extra = ordered.select(row_id, F.array_join(F.col("_parts._content"), " ").alias("_extra"))
-    with_frames = framed.join(extra, row_id, "left").withColumn(
-        "text", F.trim(F.concat_ws(" ", F.col("text"), F.col("_extra")))
-    )
-    plain = listed.filter((F.size("_frames") <= 0) | F.col("_frames").isNull())
-    return plain.drop("_frames").unionByName(with_frames.drop("_frames", "_extra"))
+    joined = shown.join(extra, row_id, "left")
+    framed = joined.withColumn("text", F.trim(F.concat_ws(" ", page_text(F.col("_shown")), F.col("_extra"))))
+    return plain.unionByName(framed.drop("_shown", "_extra"))

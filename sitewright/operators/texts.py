@@ -8,10 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitewright.functions.expressions import bind, compute_and_keep
 from sitewright.functions.html import page_text, remove_popups
 from sitewright.functions.words import clean_text, remove_stopwords, stem_text
 from sitewright.operators.pages import text_with_frames
-from sitewright.operators.rows import enough_words, has_enough_words
+from sitewright.operators.rows import has_enough_words
 
 
 @dataclass(frozen=True)
@@ -26,7 +27,10 @@ class Languages:
 
 def clean_column(text: Column, language: Column, languages: Languages, min_length: int = 3) -> Column:
     """Letters only, short words out, stop words out; null for other languages."""
-    return remove_stopwords(clean_text(text, min_length), language, languages.primary, languages.secondary)
+    return bind(
+        clean_text(text, min_length),
+        lambda t: remove_stopwords(t, language, languages.primary, languages.secondary),
+    )
 
 
 def clean_corpus(
@@ -34,8 +38,8 @@ def clean_corpus(
 ) -> DataFrame:
     """Rows in the two languages with clean text of more than ``min_words`` words."""
     chosen = df.filter(F.col(language).isin(*languages.both))
-    cleaned = chosen.withColumn(text, clean_column(F.col(text), F.col(language), languages))
-    return enough_words(cleaned, text, min_words, inclusive)
+    cleaned = clean_column(F.col(text), F.col(language), languages)
+    return compute_and_keep(chosen, text, cleaned, lambda t: has_enough_words(t, min_words, inclusive))
 
 
 def html_to_text(
@@ -54,11 +58,11 @@ def html_to_text(
     """
     chosen = df.filter(F.col(language).isin(*languages.both))
     if pages is None:
-        seen = chosen.withColumn("text", page_text(remove_popups(F.col(html))))
+        seen, text = chosen, page_text(remove_popups(F.col(html)))
     else:
-        seen = text_with_frames(chosen, row_id, html, pages)
-    cleaned = seen.withColumn("text", clean_column(F.col("text"), F.col(language), languages))
-    return enough_words(cleaned, "text", min_words)
+        seen, text = text_with_frames(chosen, row_id, html, pages), F.col("text")
+    cleaned = bind(text, lambda t: clean_column(t, F.col(language), languages))
+    return compute_and_keep(seen, "text", cleaned, lambda t: has_enough_words(t, min_words))
 
 
 @dataclass(frozen=True)
@@ -72,12 +76,15 @@ class Revision:
 
 def revision_text(text: Column, language: Column, languages: Languages, config: Revision) -> Column:
     """Text of one revision, null if it is too short or the language has no lists."""
-    out = clean_text(text, config.min_length)
+    cleaned = clean_text(text, config.min_length)
     if config.stop:
-        out = remove_stopwords(out, language, languages.primary, languages.secondary)
-    long_enough = has_enough_words(out, config.min_words, inclusive=True)
-    final = stem_text(out, language, languages.both) if config.stem else out
-    return F.when(long_enough, final)
+        cleaned = clean_column(text, language, languages, config.min_length)
+
+    def finish(out: Column) -> Column:
+        final = stem_text(out, language, languages.both) if config.stem else out
+        return F.when(has_enough_words(out, config.min_words, inclusive=True), final)
+
+    return bind(cleaned, finish)
 
 
 def build_revisions(
@@ -91,5 +98,6 @@ def build_revisions(
         )
         for config in configs
     ]
-    listed = df.select(key, F.col(language).alias("language"), F.explode(F.array(*made)).alias("r"))
-    return listed.select(key, "language", "r.revision", "r.text").filter(F.col("text").isNotNull())
+    present = F.filter(F.array(*made), lambda r: r["text"].isNotNull())
+    listed = df.select(key, F.col(language).alias("language"), F.explode(present).alias("r"))
+    return listed.select(key, "language", "r.revision", "r.text")

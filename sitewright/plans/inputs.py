@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewright.functions.words import tokens
 from sitewright.operators.aggregates import term_counts
 from sitewright.operators.texts import Languages, clean_corpus
-from sitewright.sources.tables import read_parquet
+from sitewright.sources.tables import read_parquet, read_spread
 
 LANGUAGES = Languages(primary="de", secondary="en")
 SEED = 22494
@@ -64,7 +64,7 @@ def companies(spark: SparkSession, folder: str) -> DataFrame:
 
 def nav(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with their language and three other pages to link to."""
-    pages = read_parquet(spark, folder, "pages")
+    pages = read_spread(spark, folder, "pages", "page_id")
     n, i = F.lit(pages.count()), F.col("page_id")
     base = pages.select(
         "page_id",
@@ -125,7 +125,7 @@ def framed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    documents = read_parquet(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    documents = read_spread(spark, folder, "documents", "doc_id").select("doc_id", "lang", "source", "text")
     return clean_corpus(documents, "text", "lang", LANGUAGES)
 
 

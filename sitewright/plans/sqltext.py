@@ -185,6 +185,12 @@ INPUTS: dict[str, str] = {
                            list_filter(regexp_extract_all({drop_blocks("html", ("script", "style", "comment"))},
                                '(?is)<a\\s[^>]*>.*?</a\\s*>'), lambda e: regexp_matches(e, '(?is)^<[^>]*\\shref\\s*=')) as es
                     from linked))""",
+    "upages": f"""
+        select norm, arg_min(page_id, url) as page_id, arg_min(html, url) as html
+        from (select page_id, url, html, {fix_http("url")} as norm from pages) group by norm""",
+    "ulinked": f"""
+        select norm, arg_min(page_id, url) as page_id, arg_min(html, url) as html, arg_min(language, url) as language
+        from (select *, {fix_http("url")} as norm from linked) group by norm""",
     "framed": """
         select page_id, url, u1, u2, html as base_html,
                replace(replace(html, '<body>', '<body>'
@@ -216,6 +222,7 @@ INPUTS: dict[str, str] = {
 NEEDS = {
     "linked": ("nav",),
     "links": ("linked",),
+    "ulinked": ("linked",),
     "framed": ("nav",),
     "labelled": ("corpus",),
     "words": ("corpus",),

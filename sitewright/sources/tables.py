@@ -12,6 +12,20 @@ def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a table over all cores if its files give fewer partitions than there are cores.
+
+    Meant for costly row-local work on small or unsplittable files. A table with a partition per core, as any
+    large table has, is returned as it is, so there is no shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    return spread(read_parquet(spark, folder, name), key)
+
+
 def read_table(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",") -> DataFrame:
     """Delimited files with header, whose fields may hold quotes, separators and line breaks."""
     return spark.read.csv(
