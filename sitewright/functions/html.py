@@ -6,6 +6,7 @@ scan without a shuffle and without a Python worker.
 
 from __future__ import annotations
 
+import json
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -38,7 +39,9 @@ def _replace_all(text: Column, patterns: list[str], by: str) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references; unknown names stay as they are."""
-    named = F.create_map(*[F.lit(v) for name, code in sorted(name2codepoint.items()) for v in (f"&{name};", chr(code))])
+    # one literal instead of a map call with an argument per name keeps plans small
+    table = json.dumps({f"&{name};": chr(code) for name, code in name2codepoint.items()})
+    named = F.from_json(F.lit(table), "map<string,string>")
 
     def decode_one(piece: Column) -> Column:
         digits = F.regexp_extract(piece, r"^&#([0-9]+);$", 1)

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from sitewright.plans import links, rows, texts  # noqa: F401
+from sitewright.plans import learning, links, rows, texts  # noqa: F401
 from sitewright.plans.registry import JOBS, SQL  # noqa: F401

@@ -153,12 +153,12 @@ def l8(spark: SparkSession, folder: str) -> DataFrame:
     q.using(
         "links ulinked",
         SWITCH
-        + f""" select page_id, coalesce(new_url, url) as url, coalesce(n.language, p.language) as language,
+        + f""" select p.page_id, coalesce(new_url, url) as url, coalesce(n.language, p.language) as language,
                       md5(coalesce(n.html, p.html)) as html_md5
                from linked p
                left join (select page_id, new_url from switched where new_url <> '') s
                    on s.page_id = p.page_id and p.language not in ('de', 'en')
-               left join ulinked n on n.norm = {q.fix_http('s.new_url')}""".replace("select page_id", "select p.page_id"),
+               left join ulinked n on n.norm = {q.fix_http('s.new_url')}""",
     ),
 )
 def l9(spark: SparkSession, folder: str) -> DataFrame:
