@@ -12,6 +12,10 @@ DEFAULT_SCHEME = "http://"
 EMAIL_DOMAIN = "@([A-Za-z.]+)"
 HIT_SEPARATOR = "›"
 
+# Marks of companies without one clear website.
+NO_DATA = "No Data"
+NEEDS_CHECKING = "Needs Checking"
+
 
 def fix_http(url: Column) -> Column:
     """Scheme in front, '/' at the end; blank and null URLs give null."""
@@ -47,15 +51,15 @@ def fill_best_guess(best_guess: Column, found: Column) -> Column:
 def website_source(cur_web: Column, web: Column) -> Column:
     """Four-way choice between the registry website and the one the company gave."""
     return (
-        F.when(cur_web.isNotNull() & web.isNotNull(), F.lit("Needs Checking"))
+        F.when(cur_web.isNotNull() & web.isNotNull(), F.lit(NEEDS_CHECKING))
         .when(web.isNotNull(), web)
         .when(cur_web.isNotNull(), cur_web)
-        .otherwise(F.lit("No Data"))
+        .otherwise(F.lit(NO_DATA))
     )
 
 
 def needs_check(source: Column) -> Column:
-    return source.isin("No Data", "Needs Checking")
+    return source.isin(NO_DATA, NEEDS_CHECKING)
 
 
 def resolve_link(base: Column, href: Column, absolute_mark: str = SCHEME_MARK) -> Column:

@@ -27,16 +27,18 @@ def lookup(
     key: str,
     row_id: Sequence[str],
     first_by: str | None = None,
+    how: str = "left",
     share: float = HOT_SHARE,
     salts: int = SALTS,
 ) -> DataFrame:
-    """Left join to a table; rows of hot keys are spread over ``salts`` tasks.
+    """Join to a table on ``key``; left rows of hot keys are spread over ``salts`` tasks.
 
     ``key`` is unique on the right, or ``first_by`` names a right column whose smallest value chooses the
     one row per key; that choice uses the shuffle the join needs anyway.
+
     Only the few right rows with a hot key are repeated. ``row_id`` names the left columns
     that tell rows apart; they choose the salt, so a retried task chooses the same one. Rows with a null key
-    match nothing and get a random-looking salt too, instead of meeting in one task.
+    match nothing and are spread as well, instead of meeting in one task.
     """
     hot = hot_keys(left, key, share).withColumn("_hot", F.lit(True))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(salts)).cast("int")
@@ -48,16 +50,19 @@ def lookup(
         payload = [c for c in right.columns if c not in (key, first_by)]
         chosen = F.min_by(F.struct(*payload), first_by).alias("_first")
         salted_right = salted_right.groupBy(key, "_salt").agg(chosen).select(key, "_salt", "_first.*")
-    return salted_left.join(salted_right, [key, "_salt"], "left").drop("_salt")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def inner_project(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Inner join with the chosen columns of the right side."""
-    return left.join(right.select(key, *columns), key)
+def inner_project(
+    left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], row_id: Sequence[str]
+) -> DataFrame:
+    """Inner join with the chosen columns of the right side, whose key is unique."""
+    return lookup(left, right.select(key, *columns), key, row_id, how="inner")
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    return left.join(right, key, "left")
+def left_join(left: DataFrame, right: DataFrame, key: str, row_id: Sequence[str]) -> DataFrame:
+    """All left rows with the columns of the right side, whose key is unique."""
+    return lookup(left, right, key, row_id)
 
 
 def complement(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:

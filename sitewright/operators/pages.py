@@ -1,7 +1,9 @@
 """Page table lookups and link operators: each fetch of the scraper is a join on the URL.
 
 If several pages share a normalized URL, the one with the smallest URL answers. Link lists stay
-inside the page row as long as possible; only (page, place, target) rows travel.
+inside the page row as long as possible; only (page, place, target) rows travel. These narrow
+tables are written to the shared folder before their join: the join looks at them twice (for
+hot keys and for the rows), and the pages behind them should be parsed once.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from sitewright.functions.html import frame_sources, links, numeric_tokens, page
 from sitewright.functions.urls import fix_http, resolve_link, street_name
 from sitewright.operators.aggregates import any_match
 from sitewright.operators.joins import lookup
+from sitewright.sources.tables import save_stage
 
 # Parts of link texts that lead to contact and location pages.
 CONTACT_WORDS = ("cont",)
@@ -61,7 +64,7 @@ def fetch_rounds(
         tried = attach_html(open_rows, row_id, url, pages, page_url, html)
         hit = tried.filter(F.col("html").isNotNull()).withColumn("round", F.lit(number))
         answered = hit if answered is None else answered.unionByName(hit)
-        open_rows = tried.filter(F.col("html").isNull()).drop("html")
+        open_rows = save_stage(tried.filter(F.col("html").isNull()).drop("html"), f"open-{number}")
     lost = open_rows.withColumn("html", F.lit(None).cast("string")).withColumn("round", F.lit(None).cast("int"))
     return answered.unionByName(lost).withColumn("ssl_fail", F.coalesce(F.col("round") == len(rounds), F.lit(False)))
 
@@ -127,7 +130,7 @@ def switch_language(
     """
     targets = language_candidates(F.col(html), F.col(url), code, country)
     listed = pages.select(page_id, F.posexplode_outer(targets).alias("place", "candidate"))
-    keyed = listed.withColumn("_target", fix_http(F.col("candidate")))
+    keyed = save_stage(listed, "candidates").withColumn("_target", fix_http(F.col("candidate")))
     known = _find(keyed, [page_id, "place"], languages, "url", _language=F.col("language"))
     first = F.min(F.when(F.col("_language") == code, F.struct("place", "candidate")))
     return known.groupBy(page_id).agg(
@@ -191,7 +194,7 @@ def _match_page_or_linked(
         text_links(F.col("html"), F.col("url"), LOCATION_WORDS, absolute_mark),
     )
     todo = first.filter(~F.col("_here")).select(row_id, *carried, F.explode(linked).alias("_link"))
-    keyed = todo.withColumn("_target", fix_http(F.col("_link")))
+    keyed = save_stage(todo, "linked-pages").withColumn("_target", fix_http(F.col("_link")))
     seen = _find(keyed, [row_id, "_link"], pages, "url", _content=content)
     matched = any_match(seen, row_id, there, "_there").filter("_there")
     joined = first.select(row_id, "_here").join(matched, row_id, "left")
@@ -233,7 +236,7 @@ def text_with_frames(df: DataFrame, row_id: str, html: str, pages: DataFrame) ->
     plain = df.filter(~may_frame).withColumn("text", page_text(remove_popups(F.col(html))))
     shown = df.filter(may_frame).withColumn("_shown", remove_popups(F.col(html)))
     asked = shown.select(row_id, F.posexplode(frame_sources(F.col("_shown"))).alias("_place", "_src"))
-    keyed = asked.withColumn("_target", fix_http(F.col("_src")))
+    keyed = save_stage(asked, "frames").withColumn("_target", fix_http(F.col("_src")))
     answers = _find(keyed, [row_id, "_place"], pages, "url", _content=F.col("html"))
     texts = answers.withColumn("_content", page_text(F.col("_content")))
     # one group is the frame list of one page, which came out of one row

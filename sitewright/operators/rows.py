@@ -42,7 +42,11 @@ def enough_characters(df: DataFrame, text: str, min_length: int = 20) -> DataFra
     return df.filter(F.length(text) >= min_length)
 
 
-def recode_label(label: Column, positive: str = "innovative", negative: str = "not innovative") -> Column:
+# Names of the two classes.
+CLASS_NAMES = ("innovative", "not innovative")
+
+
+def recode_label(label: Column, positive: str = CLASS_NAMES[0], negative: str = CLASS_NAMES[1]) -> Column:
     return F.when(label == 1, F.lit(positive)).otherwise(F.lit(negative))
 
 

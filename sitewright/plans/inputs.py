@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitewright.functions.words import tokens
 from sitewright.operators.aggregates import term_counts
 from sitewright.operators.texts import Languages, clean_corpus
-from sitewright.sources.tables import read_parquet, read_spread
+from sitewright.sources.tables import read_parquet, read_spread, save_stage, spread
 
 LANGUAGES = Languages(primary="de", secondary="en")
 SEED = 22494
@@ -103,7 +103,8 @@ def linked(spark: SparkSession, folder: str) -> DataFrame:
     )
     address = F.when(i % 3 == 0, text("<p>Teststraat ", 10000 + i, "</p>")).otherwise(F.lit(""))
     html = F.replace(F.col("html"), F.lit("</body>"), F.concat(extra, address, F.lit("</body>")))
-    return nav(spark, folder).select("page_id", "url", "language", "t1", html.alias("html"))
+    made = nav(spark, folder).select("page_id", "url", "language", "t1", html.alias("html"))
+    return spread(save_stage(made, "linked"), "page_id")  # read several times by the link queries
 
 
 def framed(spark: SparkSession, folder: str) -> DataFrame:

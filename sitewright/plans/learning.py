@@ -6,13 +6,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.functions import html, words
-from sitewright.operators import aggregates, features, models, pages, rows, sampling, texts
+from sitewright.functions import words
+from sitewright.operators import aggregates, features, models, rows, sampling, texts
 from sitewright.operators.language import LanguageProfile
 from sitewright.plans import inputs
 from sitewright.plans import sqltext as q
 from sitewright.plans.inputs import LANGUAGES, SEED
 from sitewright.plans.registry import query
+from sitewright.plans.scoring import score_pages
 from sitewright.session import new_table_path
 from sitewright.sources.tables import read_parquet, read_spread, save_stage
 
@@ -414,14 +415,7 @@ def m15(spark: SparkSession, folder: str) -> DataFrame:
     path, _, _ = _saved_scorer(spark, folder)
     linked = inputs.linked(spark, folder).select("page_id", "url", "html")
     profile = LanguageProfile.fit(read_spread(spark, folder, "documents", "doc_id"), "text", "lang")
-    shown = linked.withColumn("shown", html.page_text(html.remove_popups(F.col("html"))))
-    detected = profile.transform(shown, "shown").drop("shown")
-    table = save_stage(detected, "pages")
-    switched = pages.apply_switch(table, "page_id", table, LANGUAGES.both, LANGUAGES.primary)
-    kept = rows.in_languages(switched, "language", LANGUAGES.both)
-    cleaned = texts.html_to_text(kept, "page_id", "html", "language", LANGUAGES)
-    corpus = rows.load_corpus(cleaned, "page_id", "text", language="language").withColumnRenamed("language", "lang")
-    return models.predict(PipelineModel.load(path), corpus)
+    return score_pages(linked, linked, profile, LANGUAGES, PipelineModel.load(path), "lang")
 
 
 @query("m16_sector_model")
