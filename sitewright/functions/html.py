@@ -26,7 +26,7 @@ CODE_BLOCKS = HIDDEN_BLOCKS[:3]
 TAG = r"</?[A-Za-z][^>]*>|<[!?][^>]*>"
 LONG_BLANK = r"\s{3,}"
 POPUP_WORDS = ("cook", "popup")
-ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 LINK_ELEMENT = r"(?is)<a\s[^>]*>.*?</a\s*>|<[a-z][a-z0-9]*\s[^>]*>"
 FRAME_TAG = r"(?is)<frame\s[^>]*>"
 
@@ -37,22 +37,29 @@ def _replace_all(text: Column, patterns: list[str], by: str) -> Column:
     return text
 
 
+def _entity_table() -> dict[str, str]:
+    """Named references, and numbers 128 to 159, which pages use for the Windows character set."""
+    table = {f"&{name};": chr(code) for name, code in name2codepoint.items()}
+    for code in range(128, 160):
+        char = bytes([code]).decode("cp1252", errors="ignore")
+        if char:
+            table[f"&#{code};"] = char
+    return table
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references; unknown names stay as they are."""
     # one literal instead of a map call with an argument per name keeps plans small
-    table = json.dumps({f"&{name};": chr(code) for name, code in name2codepoint.items()})
-    named = F.from_json(F.lit(table), "map<string,string>")
+    named = F.from_json(F.lit(json.dumps(_entity_table())), "map<string,string>")
 
     def decode_one(piece: Column) -> Column:
         digits = F.regexp_extract(piece, r"^&#([0-9]+);$", 1)
         hexed = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+);$", 1)
-        code = F.when(digits != "", F.conv(digits, 10, 16)).when(hexed != "", hexed)
-        short = F.length(code) <= 4
-        numeric = F.when(short, F.decode(F.unhex(F.lpad(code, 4, "0")), "UTF-16BE")).otherwise(
-            F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32BE")
-        )
-        known = F.coalesce(F.element_at(named, piece), F.when(code.isNotNull(), numeric), piece)
-        return F.when(piece.rlike("^" + ENTITY + "$"), known).otherwise(piece)
+        code = F.when(digits != "", digits.cast("bigint")).when(hexed != "", F.conv(hexed, 16, 10).cast("bigint"))
+        legal = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        numeric = F.when(code.isNotNull(), F.when(legal, char).otherwise(F.lit("\ufffd")))
+        return F.when(piece.rlike("^" + ENTITY + "$"), F.coalesce(F.element_at(named, piece), numeric, piece)).otherwise(piece)
 
     def decode_all(raw: Column) -> Column:
         pieces = F.regexp_extract_all(raw, F.lit(f"(?s){ENTITY}|[^&]+|&"), F.lit(0))
