@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.ml.classification import NaiveBayes, NaiveBayesModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions.words import trigrams
@@ -56,6 +56,19 @@ class LanguageProfile:
         vectorizer = CountVectorizerModel.from_vocabulary(terms, inputCol="_grams", outputCol="_tf")
         return cls(codes, terms, vectorizer, model)
 
+    def save(self, path: str) -> None:
+        self.vectorizer.write().overwrite().save(f"{path}/terms")
+        self.model.write().overwrite().save(f"{path}/model")
+        spark = SparkSession.getActiveSession()
+        codes = spark.createDataFrame(list(enumerate(self.codes)), "place int, code string")
+        codes.write.mode("overwrite").parquet(f"{path}/codes")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LanguageProfile:
+        vectorizer = CountVectorizerModel.load(f"{path}/terms")
+        codes = [r["code"] for r in spark.read.parquet(f"{path}/codes").orderBy("place").collect()]
+        return cls(codes, vectorizer.vocabulary, vectorizer, NaiveBayesModel.load(f"{path}/model"))
+
     def transform(self, df: DataFrame, text: str, output: str = "language") -> DataFrame:
         """Add the language code; texts without any known trigram (or null) give 'unknown'."""
         grams = df.withColumn("_grams", F.coalesce(trigrams(F.col(text)), F.array().cast("array<string>")))

@@ -106,12 +106,15 @@ def test_histogram_of_one_value(spark):
     assert got == {(0, 25): 2, (1, 0): 1, (1, 49): 1}
 
 
-def test_unknown_language(spark):
+def test_unknown_language(spark, tmp_path):
     df = spark.createDataFrame([("the cat and the hat", "en"), ("der hund und der mund", "de")], "text string, lang string")
     profile = LanguageProfile.fit(df, "text", "lang", per_language=20)
     texts = spark.createDataFrame([("the hat",), ("der mund",), ("12 34",), ("",), (None,), ("qqqqq",)], "text string")
     got = [r.language for r in profile.transform(texts, "text").collect()]
     assert got == ["en", "de", "unknown", "unknown", "unknown", "unknown"]
+    profile.save(str(tmp_path / "profile"))
+    again = LanguageProfile.load(spark, str(tmp_path / "profile"))
+    assert [r.language for r in again.transform(texts, "text").collect()] == got
 
 
 def test_doc_vector_counts_known_words_only(spark):
