@@ -53,13 +53,13 @@ def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFram
 T_QUANTILE = {4: 2.776445, 9: 2.262157, 19: 2.093024, 49: 2.009575, 99: 1.984217}
 
 
-def score_interval(df: DataFrame, score: str, runs: int) -> DataFrame:
-    """Mean, extremes and 95 % interval of repeated scores.
+def score_interval(df: DataFrame, score: str, runs: int, quantile: float | None = None) -> DataFrame:
+    """Mean, extremes and 95 % interval of repeated scores; ``quantile`` for other numbers of runs or levels.
 
     ``lower``/``upper`` scale by the population standard deviation, ``se_lower``/``se_upper``
     by the standard error.
     """
-    quantile = T_QUANTILE[runs - 1]
+    quantile = quantile or T_QUANTILE[runs - 1]
     stats = df.agg(
         F.avg(score).alias("mean"),
         F.min(score).alias("min"),

@@ -32,13 +32,15 @@ class LanguageProfile:
     @classmethod
     def fit(cls, df: DataFrame, text: str, language: str, per_language: int = 300) -> LanguageProfile:
         spark = df.sparkSession
+        df = df.filter(F.col(language).isNotNull())
         found = df.select(F.col(language).alias("lang"), F.explode(trigrams(F.col(text))).alias("term"))
         counts = found.groupBy("lang", "term").agg(F.count("*").alias("n"))
         frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
         ranked = counts.withColumn("place", F.row_number().over(frequent))
         best = ranked.withColumn("best", F.min("place").over(Window.partitionBy("term")))
         rows = best.filter(F.col("best") <= per_language).select("lang", "term", "n").collect()
-        sizes = {r["lang"]: r["docs"] for r in df.groupBy(F.col(language).alias("lang")).agg(F.count("*").alias("docs")).collect()}
+        per_language_docs = df.groupBy(F.col(language).alias("lang")).agg(F.count("*").alias("docs")).collect()
+        sizes = {r["lang"]: r["docs"] for r in per_language_docs}
         codes = sorted(sizes)
         terms = sorted({r["term"] for r in rows})
         place = {term: i for i, term in enumerate(terms)}

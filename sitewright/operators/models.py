@@ -23,13 +23,18 @@ from sitewright.operators.sampling import fold_number, one_per_key, side_by_side
 MAX_TREE_DEPTH = 30  # the limit of the tree learner
 
 
-def logistic_l1(rows: int, c: float = 1.0, max_iter: int = 200) -> LogisticRegression:
+def logistic_l1(rows: int, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-5) -> LogisticRegression:
     """L1 logistic regression with inverse strength ``c``.
 
     The loss here is a mean over rows, hence the weight 1 / (c * rows).
     """
     return LogisticRegression(
-        elasticNetParam=1.0, regParam=1.0 / (c * rows), standardization=False, maxIter=max_iter, labelCol="label"
+        elasticNetParam=1.0,
+        regParam=1.0 / (c * rows),
+        standardization=False,
+        maxIter=max_iter,
+        tol=tol,
+        labelCol="label",
     )
 
 

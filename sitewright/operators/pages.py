@@ -61,10 +61,14 @@ def fetch_rounds(
     """
     answered, open_rows = None, df
     for number, pages in enumerate(rounds, 1):
-        tried = attach_html(open_rows, row_id, url, pages, page_url, html)
-        hit = tried.filter(F.col("html").isNotNull()).withColumn("round", F.lit(number))
+        filled = pages.filter(F.col(html).isNotNull())
+        # whether a page answers is decided on URLs alone; HTML is joined to the rows that it answers
+        asked = open_rows.withColumn("_target", fix_http(F.col(url)))
+        tried = save_stage(_find(asked, [row_id], filled, page_url, _hit=F.lit(True)), f"round-{number}")
+        hit = attach_html(tried.filter("_hit").drop("_hit"), row_id, url, filled, page_url, html)
+        hit = hit.withColumn("round", F.lit(number))
         answered = hit if answered is None else answered.unionByName(hit)
-        open_rows = save_stage(tried.filter(F.col("html").isNull()).drop("html"), f"open-{number}")
+        open_rows = tried.filter(F.col("_hit").isNull()).drop("_hit")
     lost = open_rows.withColumn("html", F.lit(None).cast("string")).withColumn("round", F.lit(None).cast("int"))
     return answered.unionByName(lost).withColumn("ssl_fail", F.coalesce(F.col("round") == len(rounds), F.lit(False)))
 
