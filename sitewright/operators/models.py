@@ -23,7 +23,7 @@ from sitewright.operators.sampling import fold_number, one_per_key, side_by_side
 MAX_TREE_DEPTH = 30  # the limit of the tree learner
 
 
-def logistic_l1(rows: int, c: float = 1.0, max_iter: int = 1000, tol: float = 1e-5) -> LogisticRegression:
+def logistic_l1(rows: int, c: float = 1.0, max_iter: int = 500, tol: float = 1e-4) -> LogisticRegression:
     """L1 logistic regression with inverse strength ``c``.
 
     The loss here is a mean over rows, hence the weight 1 / (c * rows).
