@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sitewright.functions.expressions import bind
+from sitewright.functions.stop_lists import STOP_LISTS
 
-# Names of the built-in stop lists per language code.
-STOP_LIST_NAMES = {"nl": "dutch", "en": "english", "de": "german", "fr": "french", "es": "spanish"}
+WORD_GAP = r"[^\p{L}\p{N}_]+"  # whatever is not a letter, digit or underscore of any script
 
 # Fixed values: (suffix, replacement) per language; the longest suffix that leaves at least
 # MIN_STEM letters is replaced, one rule per word.
@@ -47,7 +46,7 @@ def clean_text(text: Column, min_length: int = 3, separator: str = "") -> Column
 
 
 def stop_list(language: str) -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords(STOP_LIST_NAMES[language])
+    return list(STOP_LISTS[language])
 
 
 def _without(text: Column, stop: list[str]) -> Column:
@@ -109,7 +108,7 @@ def count_words(text: Column) -> Column:
 
 def tokens(text: Column, min_length: int = 2) -> Column:
     """Lower-case word tokens of at least ``min_length`` characters."""
-    return F.filter(F.split(F.lower(text), r"\W+"), lambda word: F.length(word) >= min_length)
+    return F.filter(F.split(F.lower(text), WORD_GAP), lambda word: F.length(word) >= min_length)
 
 
 def trigrams(text: Column) -> Column:

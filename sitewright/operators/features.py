@@ -27,7 +27,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.functions.words import tokens
+from sitewright.functions.words import WORD_GAP, tokens
 from sitewright.operators.aggregates import term_counts
 from sitewright.operators.sampling import one_per_key, oversample, split
 
@@ -61,7 +61,7 @@ class Vocabulary:
 def count_stages(vocabulary: Vocabulary, text: str, output: str, binary: bool = False) -> list:
     """Stages text -> words -> term counts."""
     return [
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\W+", minTokenLength=2),
+        RegexTokenizer(inputCol=text, outputCol="words", pattern=WORD_GAP, minTokenLength=2),
         CountVectorizerModel.from_vocabulary(vocabulary.terms, inputCol="words", outputCol=output, binary=binary)
         if binary
         else CountVectorizerModel.from_vocabulary(vocabulary.terms, inputCol="words", outputCol=output),

@@ -14,9 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SORT_LIMIT = 10_000  # largest sample taken by sorting; above it the cut value is searched
+SORT_LIMIT = 10_000  # rows of one hash prefix that are sorted to find the cut value
 ROWS_PER_BUCKET = 100_000
-MAX_BUCKET_DIGITS = 5
+REPEATED = "the key columns do not identify a row"
 
 
 def key_hash(keys: Sequence[str | Column], seed: int) -> Column:
@@ -47,7 +47,8 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> Colu
     """Row-local predicate that holds for exactly the ``n`` rows first in (hash, keys) order.
 
     Rows are counted per hash prefix (at most 4,096 counts per round); the prefix in which
-    the n-th row lies is refined until a few thousand rows are left. Only the keys are read.
+    the n-th row lies is refined until a few thousand rows are left. Only the keys are read. If copies of one
+    key lie on both sides of the cut, no such predicate exists and ``ValueError`` is raised, whatever the size.
     """
     hashed = key_hash(keys, seed)
     narrow = df.select(*keys, hashed.alias("_hash"))
@@ -74,8 +75,10 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> Colu
         if left == 0:
             return hashed < prefix
         if size <= SORT_LIMIT:
-            rows = narrow.filter(F.col("_hash").startswith(prefix)).orderBy("_hash", *keys).limit(left).collect()
-            last = rows[-1]
+            rows = narrow.filter(F.col("_hash").startswith(prefix)).orderBy("_hash", *keys).limit(left + 1).collect()
+            last = rows[left - 1]
+            if rows[left] == last:
+                raise ValueError(REPEATED)
             here = F.struct(hashed.alias("_hash"), *[F.col(k) for k in keys])
             cut = F.struct(
                 F.lit(last["_hash"]).alias("_hash"),
@@ -83,14 +86,11 @@ def first_by_hash(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> Colu
             )
             return here <= cut
         if width > 29:
-            raise ValueError("the key columns do not identify a row")
+            raise ValueError(REPEATED)
 
 
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows (all, if there are fewer)."""
-    if n <= SORT_LIMIT:
-        hashed = key_hash(keys, seed)
-        return df.orderBy(hashed, *keys).limit(n)
     return df.filter(first_by_hash(df, keys, n, seed))
 
 
@@ -128,10 +128,10 @@ def with_rank(df: DataFrame, keys: Sequence[str], seed: int, rows: int, name: st
     A rank is the number of rows in earlier hash buckets plus the place inside the bucket, so
     the work is spread over buckets of about ``ROWS_PER_BUCKET`` rows.
     """
-    digits = min(max(math.ceil(math.log(max(rows, 1) / ROWS_PER_BUCKET, 16)), 1), MAX_BUCKET_DIGITS)
+    digits = max(math.ceil(math.log(max(rows, 1) / ROWS_PER_BUCKET, 16)), 1)
     part = F.substring(key_hash(keys, seed), 1, digits)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (  # one row per bucket, 16 ** digits at most
+    offsets = (  # one row per bucket of about ROWS_PER_BUCKET rows
         df.select(part.alias("_part"))
         .groupBy("_part")
         .count()
@@ -141,7 +141,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], seed: int, rows: int, name: st
     return (
         df.withColumn("_hash", key_hash(keys, seed))
         .withColumn("_part", F.substring("_hash", 1, digits))
-        .join(F.broadcast(offsets), "_part")
+        .join(offsets, "_part")
         .withColumn(name, F.row_number().over(inside) + F.col("_offset"))
         .drop("_hash", "_part", "_offset")
     )

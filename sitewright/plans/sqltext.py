@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import cache
+from sitewright.functions.stop_lists import STOP_LISTS
+from sitewright.functions.words import MIN_STEM, SUFFIX_RULES
 
-import pyspark
 
-from sitewright.functions.words import MIN_STEM, STOP_LIST_NAMES, SUFFIX_RULES
-
-
-@cache
 def stop_words(code: str) -> tuple[str, ...]:
-    """The built-in stop list read from the Spark jar, so that no session is needed for SQL text."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    name = f"org/apache/spark/ml/feature/stopwords/{STOP_LIST_NAMES[code]}.txt"
-    with zipfile.ZipFile(jars[0]) as jar:
-        return tuple(line for line in jar.read(name).decode("utf-8").split("\n") if line)
+    return STOP_LISTS[code]
 
 
 def quoted(words) -> str:
@@ -75,7 +64,7 @@ def word_count(x: str) -> str:
 
 
 def tokens(x: str, min_length: int = 2) -> str:
-    return f"list_filter(string_split_regex(lower({x}), '\\W+'), lambda w: length(w) >= {min_length})"
+    return f"list_filter(string_split_regex(lower({x}), '[^\\pL\\pN_]+'), lambda w: length(w) >= {min_length})"
 
 
 def decode(x: str) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -34,19 +33,17 @@ def local_session(name: str = "sitewright", cores: str = "*", shuffle_partitions
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir`` if set.
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or else the warehouse folder.
 
-    Without that setting a temporary folder is made, which is only right when driver and
-    executors share one machine.
+    With a local master, where one process does all the work, an unset folder means Spark's own scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="sitewright-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return f"{spark.conf.get('spark.local.dir', '/tmp').split(',')[0]}/sitewright-stages"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/sitewright-stages"
 
 
 def new_table_path(spark: SparkSession, name: str) -> str:

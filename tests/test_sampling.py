@@ -27,11 +27,17 @@ def test_small_and_large_samples_agree(spark, monkeypatch):
     assert {r.id for r in sampling.sample_rows(df, ["id"], 1_234, 3).collect()} == small
 
 
-def test_repeated_keys_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(sampling, "SORT_LIMIT", 10)
-    df = spark.range(100).select(F.lit(1).alias("k"))
-    with pytest.raises(ValueError, match="identify"):
-        sampling.first_by_hash(df, ["k"], 50, 1)
+@pytest.mark.parametrize("rows", [100, 200_000])
+def test_copies_of_a_key_across_the_cut_are_refused(spark, rows):
+    df = spark.range(rows).select(F.lit(1).alias("k"))
+    for sample in (
+        lambda: sampling.first_by_hash(df, ["k"], rows // 2, 1),
+        lambda: sampling.sample_rows(df, ["k"], rows // 2, 1),
+        lambda: sampling.split_exact(df, ["k"], 0.5, 1),
+    ):
+        with pytest.raises(ValueError, match="identify"):
+            sample()
+    assert sampling.sample_rows(df, ["k"], rows, 1).count() == rows
 
 
 def test_split_is_complete_disjoint_and_stable(spark):
