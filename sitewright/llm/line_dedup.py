@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.llm.texts import BLANKS, ascii_lower, narrow, whole
+from sitewright.llm.texts import BLANKS, ascii_lower, whole
 from sitewright.sources.tables import save_stage
 
 MIN_DOCS = 10
@@ -37,8 +39,9 @@ def drop_repeated_lines(
     text: str = "text",
     min_docs: int = MIN_DOCS,
     min_chars: int = MIN_CHARS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, kept_text, n_lines, n_dropped.
+    """One row per document: doc_id, kept_text, n_lines, n_dropped, and the columns in ``keep`` as a struct ``kept``.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points in at least ``min_docs`` documents lose all their lines; the others are joined again in their order.
@@ -49,7 +52,7 @@ def drop_repeated_lines(
     Only digests are exploded and shuffled. A document's digests are stored once as an array; the
     positions to drop go back to the text by doc_id and text digest, a key that no large group shares.
     """
-    rows = narrow(docs, doc_id=doc_id, text=text)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.struct(*keep).alias("kept")] if keep else []))
     keyed = rows.withColumn("text_hash", F.xxhash64(whole("text")))
     per_line = F.transform(lines_of("text"), lambda line: line_digest(line, min_chars))
     lines = save_stage(keyed.select("doc_id", "text_hash", per_line.alias("digests")), "line-digests")
@@ -71,4 +74,5 @@ def drop_repeated_lines(
         F.when(F.col("gone").isNull(), whole("text")).otherwise(kept).alias("kept_text"),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        *(["kept"] if keep else []),
     )

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitewright.llm import exact_dedup, line_dedup, pieces, token_counts
+from sitewright.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    line_dedup,
+    pieces,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from sitewright.llm.registry import JOBS, SQL, query, tokenizer_file  # noqa: F401
 from sitewright.llm.texts import sha256_hex
 from sitewright.session import new_table_path
@@ -19,6 +30,20 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_parquet(spark, folder, "documents")
 
 
+@query("op1_language_mixture")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = language.fit_on_documents(docs)
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select(
+        "row.doc_id",
+        language.held_out("row.doc_id").alias("held_out"),
+        "lang_pred",
+        "score",
+        F.size("mixture").alias("n_languages"),
+    )
+
+
 @query(
     "op2_line_dedup",
     f"""
@@ -36,6 +61,22 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_hex("kept_text").alias("kept_sha256"))
 
 
+@query("op3_perplexity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read_parquet(spark, folder, "labels")
+    return quality.score_documents(documents(spark, folder), labels, block=quality.file_block())
+
+
+@query("op4_url_words")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judge(read_parquet(spark, folder, "pages"))
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicate_classes(documents(spark, folder))
+
+
 @query("op6_piece_encoding")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     encoded = pieces.encode_documents(documents(spark, folder), tokenizer_file())
@@ -47,6 +88,20 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op7_flow_sharding")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.reshard(documents(spark, folder).select("doc_id", "text"))
+    return placed.select(
+        "row.doc_id",
+        "size",
+        F.crc32(F.coalesce("row.text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("slot").cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @query("op8_token_counts")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cache = token_counts.empty_cache(spark, new_table_path(spark, "token-cache"))
@@ -65,3 +120,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, folder)).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("text_sha256")
     )
+
+
+@query(
+    "op10_decontamination",
+    """
+    with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from documents),
+         i as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') as w from benchmark),
+         ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p+4], ' '))) as s
+                from d where len(w) >= 5),
+         s as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p+4], ' '))) as s
+               from i where len(w) >= 5),
+         sizes as (select item_id, count(*) as n_shingles from s group by 1)
+    select doc_id, item_id, count(*)::bigint as n_shared, n_shingles::bigint as n_shingles, count(*) / n_shingles as containment
+    from ds join s using (s) join sizes using (item_id)
+    group by doc_id, item_id, n_shingles having count(*) >= 0.8 * n_shingles - 1e-9""",
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contained_items(documents(spark, folder), read_parquet(spark, folder, "benchmark"))
