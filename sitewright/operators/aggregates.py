@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,17 +50,36 @@ def conditional_counts(df: DataFrame, conditions: dict[str, Column]) -> DataFram
     return df.agg(*[F.count_if(condition).alias(name) for name, condition in conditions.items()])
 
 
-# Two-sided 95 % quantiles of the t distribution by degrees of freedom.
-T_QUANTILE = {4: 2.776445, 9: 2.262157, 19: 2.093024, 49: 2.009575, 99: 1.984217}
+def t_share(t: float, freedom: int) -> float:
+    """Probability that a t-distributed value lies within -t and t: the finite series for whole degrees of freedom."""
+    angle = math.atan(t / math.sqrt(freedom))
+    sine, cosine = math.sin(angle), math.cos(angle)
+    odd = freedom % 2
+    term = cosine if odd else 1.0
+    total = 0.0
+    for k in range(odd, freedom - 1, 2):
+        total += term
+        term *= cosine * cosine * (k + 1) / (k + 2)
+    return 2 / math.pi * (angle + sine * total) if odd else sine * total
 
 
-def score_interval(df: DataFrame, score: str, runs: int, quantile: float | None = None) -> DataFrame:
-    """Mean, extremes and 95 % interval of repeated scores; ``quantile`` for other numbers of runs or levels.
+def t_quantile(freedom: int, level: float = 0.95) -> float:
+    """Two-sided quantile of the t distribution, to six digits."""
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if t_share(middle, freedom) < level else (low, middle)
+    return round(high, 6)
+
+
+def score_interval(df: DataFrame, score: str, level: float = 0.95) -> DataFrame:
+    """Mean, extremes and interval of repeated scores; the quantile follows the number of scores present.
 
     ``lower``/``upper`` scale by the population standard deviation, ``se_lower``/``se_upper``
-    by the standard error.
+    by the standard error. With fewer than two scores the intervals are null.
     """
-    quantile = quantile or T_QUANTILE[runs - 1]
+    runs = df.filter(F.col(score).isNotNull()).count()
+    quantile = F.lit(t_quantile(runs - 1, level) if runs > 1 else None).cast("double")
     stats = df.agg(
         F.avg(score).alias("mean"),
         F.min(score).alias("min"),

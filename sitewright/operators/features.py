@@ -24,6 +24,7 @@ from pyspark.ml.feature import (
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,7 @@ from sitewright.functions.words import WORD_GAP, tokens
 from sitewright.operators.aggregates import term_counts
 from sitewright.operators.sampling import one_per_key, oversample, split
 
-BROADCAST_WORDS = 2_000_000  # above this many words the vector table is joined by shuffle
-MAX_TRAINED_WORDS = 20_000_000  # Word2Vec holds its vocabulary on the driver
+TRAINING_PARTS = 8  # fixed, so that embeddings do not depend on the session's settings
 
 
 @dataclass
@@ -153,43 +153,49 @@ def train_word_vectors(
     window: int,
     min_count: int,
     seed: int = 22494,
-    partitions: int | None = None,
+    partitions: int = TRAINING_PARTS,
 ) -> Word2VecModel:
     """Word vectors from an array column.
 
-    Training is spread over ``partitions`` tasks (default: the session's shuffle partitions), each
-    of which holds the vocabulary; raise ``min_count`` for corpora with more words than fit.
+    Training is spread over ``partitions`` tasks, each of which holds the vocabulary, as does the driver. The result depends
+    on their number, so it is an argument and not taken from the session. ``min_count`` bounds the
+    vocabulary; the learner itself needs words times ``size`` below 2 ** 31.
     """
-    counts = term_counts(df, F.col(words)).filter(F.col("tf") >= min_count)
-    known = counts.count()
-    if known > MAX_TRAINED_WORDS:
-        raise ValueError(f"{known} words occur {min_count} times or more; raise min_count")
-    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     trainer = Word2Vec(
         vectorSize=size,
         maxIter=epochs,
         windowSize=window,
         minCount=min_count,
         seed=seed,
-        numPartitions=parts,
+        numPartitions=partitions,
         inputCol=words,
         outputCol="embedding",
     )
     return trainer.fit(df.select(words))
 
 
-def doc_vector(df: DataFrame, key: str, words: Column, vectors: DataFrame, known: int) -> DataFrame:
+def doc_vector(df: DataFrame, key: str, words: Column, vectors: DataFrame) -> DataFrame:
     """One number per key: the mean over all vector components of its known words.
 
-    ``vectors`` has (word, vector as array); ``known`` is its size and decides whether it is broadcast.
+    ``vectors`` has (word, vector as array); whether it is broadcast is left to the adaptive planner.
     """
     total = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x)
     means = vectors.select("word", (total / F.size("vector")).alias("_mean"))
-    side = F.broadcast(means) if known <= BROADCAST_WORDS else means
-    pairs = df.select(key, F.explode(words).alias("word")).join(side, "word")
+    pairs = df.select(key, F.explode(words).alias("word")).join(means, "word")
     return pairs.groupBy(key).agg(F.avg("_mean").alias("doc_vector"))
 
 
+def document_embeddings(df: DataFrame, key: str, words: str, model: Word2VecModel, output: str = "embedding") -> DataFrame:
+    """(key, embedding as array): the mean vector of a document's known words; zeros if it has none."""
+    size = model.getVectorSize()
+    counts = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").count()
+    known = counts.join(model.getVectors(), "word")
+    means = known.groupBy(key).agg(Summarizer.mean(F.col("vector"), F.col("count").cast("double")).alias("_mean"))
+    zeros = F.array_repeat(F.lit(0.0), size)
+    joined = df.select(key).distinct().join(means, key, "left")
+    return joined.select(key, F.coalesce(vector_to_array("_mean"), zeros).alias(output))
+
+
 def word_vector_table(model: Word2VecModel) -> DataFrame:
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 

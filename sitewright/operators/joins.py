@@ -21,6 +21,16 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     return frequent.select(F.explode(F.col(f"{key}_freqItems")).alias(key)).filter(F.col(key).isNotNull())
 
 
+def _first_rows(right: DataFrame, asked: DataFrame, key: str, first_by: str) -> DataFrame:
+    """Of the right rows with an asked key, the one with the smallest ``first_by`` per key.
+
+    The choice is made on the two narrow columns; wide columns are joined once, to the chosen rows only.
+    """
+    wanted = asked.filter(F.col(key).isNotNull()).distinct()
+    chosen = right.select(key, first_by).join(wanted, key, "left_semi").groupBy(key).agg(F.min(first_by).alias(first_by))
+    return right.join(chosen, [key, first_by], "left_semi").drop(first_by)
+
+
 def lookup(
     left: DataFrame,
     right: DataFrame,
@@ -28,41 +38,41 @@ def lookup(
     row_id: Sequence[str],
     first_by: str | None = None,
     how: str = "left",
+    salts: int = 0,
     share: float = HOT_SHARE,
-    salts: int = SALTS,
 ) -> DataFrame:
-    """Join to a table on ``key``; left rows of hot keys are spread over ``salts`` tasks.
+    """Join to a table on ``key``.
 
-    ``key`` is unique on the right, or ``first_by`` names a right column whose smallest value chooses the
-    one row per key; that choice uses the shuffle the join needs anyway.
+    ``key`` is unique on the right, or ``first_by`` names a right column (unique together with ``key``) whose
+    smallest value chooses the one row per key.
 
-    Only the few right rows with a hot key are repeated. ``row_id`` names the left columns
-    that tell rows apart; they choose the salt, so a retried task chooses the same one. Rows with a null key
-    match nothing and are spread as well, instead of meeting in one task.
+    By default this is a plain join and skew is left to the adaptive planner. For a left side known to have hot keys,
+    ``salts`` spreads their rows over so many tasks; only the few right rows with a hot key are repeated. ``row_id``
+    names the left columns that tell rows apart; they choose the salt, so a retried task chooses the same one. Rows
+    with a null key match nothing and are spread as well, instead of meeting in one task.
     """
+    if first_by:
+        right = _first_rows(right, left.select(key), key, first_by)
+    if not salts:
+        return left.join(right, key, how)
     hot = hot_keys(left, key, share).withColumn("_hot", F.lit(True))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in row_id]), F.lit(salts)).cast("int")
     salt = F.when(F.col("_hot") | F.col(key).isNull(), spread).otherwise(F.lit(0))
     salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    if first_by:
-        payload = [c for c in right.columns if c not in (key, first_by)]
-        chosen = F.min_by(F.struct(*payload), first_by).alias("_first")
-        salted_right = salted_right.groupBy(key, "_salt").agg(chosen).select(key, "_salt", "_first.*")
     return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
 
 
-def inner_project(
-    left: DataFrame, right: DataFrame, key: str, columns: Sequence[str], row_id: Sequence[str]
-) -> DataFrame:
-    """Inner join with the chosen columns of the right side, whose key is unique."""
-    return lookup(left, right.select(key, *columns), key, row_id, how="inner")
+def inner_project(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Inner join with the chosen columns of the right side, whose key is unique; left columns come first."""
+    joined = left.join(right.select(key, *columns), key)
+    return joined.select(*left.columns, *columns)
 
 
-def left_join(left: DataFrame, right: DataFrame, key: str, row_id: Sequence[str]) -> DataFrame:
+def left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """All left rows with the columns of the right side, whose key is unique."""
-    return lookup(left, right, key, row_id)
+    return left.join(right, key, "left")
 
 
 def complement(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions.words import trigrams
 from sitewright.operators.aggregates import value_counts
+from sitewright.sources.tables import save_stage
 
 UNKNOWN = "unknown"
 
@@ -34,11 +35,11 @@ class LanguageProfile:
         spark = df.sparkSession
         df = df.filter(F.col(language).isNotNull())
         found = df.select(F.col(language).alias("lang"), F.explode(trigrams(F.col(text))).alias("term"))
-        counts = found.groupBy("lang", "term").agg(F.count("*").alias("n"))
+        # counted once; of these the planner keeps the first per language in every task before it sorts a language
+        counts = save_stage(found.groupBy("lang", "term").agg(F.count("*").alias("n")), "trigrams")
         frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
-        ranked = counts.withColumn("place", F.row_number().over(frequent))
-        best = ranked.withColumn("best", F.min("place").over(Window.partitionBy("term")))
-        rows = best.filter(F.col("best") <= per_language).select("lang", "term", "n").collect()
+        top = counts.withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= per_language)
+        rows = counts.join(top.select("term").distinct(), "term", "left_semi").collect()
         per_language_docs = df.groupBy(F.col(language).alias("lang")).agg(F.count("*").alias("docs")).collect()
         sizes = {r["lang"]: r["docs"] for r in per_language_docs}
         codes = sorted(sizes)

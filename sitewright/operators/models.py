@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from sitewright.operators.features import FeatureSet
 from sitewright.operators.metrics import accuracy, classification_report, histogram, macro_f1
 from sitewright.operators.rows import decide
-from sitewright.operators.sampling import fold_number, one_per_key, side_by_side, split, top_k
+from sitewright.operators.sampling import fold_number, one_per_key, oversample, side_by_side, split, top_k
 
 MAX_TREE_DEPTH = 30  # the limit of the tree learner
 
 
-def logistic_l1(rows: int, c: float = 1.0, max_iter: int = 500, tol: float = 1e-4) -> LogisticRegression:
+def logistic_l1(rows: int, c: float = 1.0, max_iter: int = 10_000, tol: float = 1e-4) -> LogisticRegression:
     """L1 logistic regression with inverse strength ``c``.
 
     The loss here is a mean over rows, hence the weight 1 / (c * rows).
@@ -46,11 +46,13 @@ def random_forest(
     min_rows: int = 1,
     seed: int = 22494,
 ) -> RandomForestClassifier:
-    """Entropy forest; each tree sees about ``sample`` rows."""
+    """Entropy forest; each tree sees about ``sample`` rows. Without ``depth`` trees grow as deep as the learner allows."""
+    if depth and depth > MAX_TREE_DEPTH:
+        raise ValueError(f"trees can be {MAX_TREE_DEPTH} deep at most")
     return RandomForestClassifier(
         impurity="entropy",
         numTrees=trees,
-        maxDepth=min(depth or MAX_TREE_DEPTH, MAX_TREE_DEPTH),
+        maxDepth=depth or MAX_TREE_DEPTH,
         minInstancesPerNode=min_rows,
         subsamplingRate=min(1.0, sample / rows),
         featureSubsetStrategy="sqrt",
@@ -171,6 +173,19 @@ def forest_grid(
     )
 
 
+def search_logistic(df: DataFrame, key: str, folds: int = 10, seed: int = 22494) -> CrossValidatorModel:
+    """Accuracy of all 49 points in ten folds over all labelled feature rows."""
+    rows = df.count()
+    model = logistic_l1(rows)
+    return cross_validate(model, df, key, folds, seed, logistic_grid(model, rows))
+
+
+def search_forest(df: DataFrame, key: str, folds: int = 10, seed: int = 22494) -> CrossValidatorModel:
+    """Accuracy of all points of the forest grid in ten folds over all labelled feature rows."""
+    model = random_forest(df.count())
+    return cross_validate(model, df, key, folds, seed, forest_grid(model))
+
+
 def grid_table(fitted: CrossValidatorModel) -> DataFrame:
     """One row per grid point with its parameters and mean accuracy."""
     from pyspark.sql import SparkSession
@@ -223,18 +238,27 @@ def coefficient_table(classifier, features: FeatureSet, size: int = 20, mask: bo
 
 
 def repeated_splits(
-    rows: DataFrame, key: str, seeds: Sequence[int], fraction: float = 0.8, estimator=None
+    rows: DataFrame,
+    key: str,
+    seeds: Sequence[int],
+    fraction: float = 0.8,
+    estimator=None,
+    oversample_value: int | None = None,
+    total: int = 0,
 ) -> DataFrame:
     """Test accuracy and macro F1 for each split seed.
 
-    The feature rows are computed once and kept; each seed is one distributed fit.
+    The feature rows are computed once and kept; each seed is one distributed fit. With ``oversample_value`` that
+    class of the training part is filled up to ``total`` rows.
     """
     kept = rows.persist()
-    total = kept.count()
+    size = kept.count()
     results = []
     for seed in seeds:
         train, test = split(kept, [key], fraction, seed)
-        fit = estimator or logistic_l1(round(total * fraction))
+        if oversample_value is not None:
+            train = oversample(train, [key], "label", oversample_value, total, seed)
+        fit = estimator or logistic_l1(round(size * fraction))
         scored = fit.fit(train).transform(test)
         score = accuracy(scored).withColumn("seed", F.lit(seed))
         f1 = macro_f1(scored)

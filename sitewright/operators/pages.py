@@ -3,7 +3,7 @@
 If several pages share a normalized URL, the one with the smallest URL answers. Link lists stay
 inside the page row as long as possible; only (page, place, target) rows travel. These narrow
 tables are written to the shared folder before their join: the join looks at them twice (for
-hot keys and for the rows), and the pages behind them should be parsed once.
+the asked URLs and for the rows), and the pages behind them should be parsed once.
 """
 
 from __future__ import annotations
@@ -187,6 +187,7 @@ def _match_page_or_linked(
     pages: DataFrame,
     content: Column,
     absolute_mark: str,
+    base: str,
 ) -> DataFrame:
     """True if the row's own page matches or any of its contact or location pages does.
 
@@ -194,8 +195,8 @@ def _match_page_or_linked(
     """
     first = df.withColumn("_here", F.coalesce(here, F.lit(False)))
     linked = F.concat(
-        text_links(F.col("html"), F.col("url"), CONTACT_WORDS, absolute_mark),
-        text_links(F.col("html"), F.col("url"), LOCATION_WORDS, absolute_mark),
+        text_links(F.col("html"), F.col(base), CONTACT_WORDS, absolute_mark),
+        text_links(F.col("html"), F.col(base), LOCATION_WORDS, absolute_mark),
     )
     todo = first.filter(~F.col("_here")).select(row_id, *carried, F.explode(linked).alias("_link"))
     keyed = save_stage(todo, "linked-pages").withColumn("_target", fix_http(F.col("_link")))
@@ -206,9 +207,12 @@ def _match_page_or_linked(
 
 
 def validate_zip(
-    df: DataFrame, row_id: str, zip_1: str, zip_2: str, pages: DataFrame, absolute_mark: str = "www"
+    df: DataFrame, row_id: str, zip_1: str, zip_2: str, pages: DataFrame, absolute_mark: str = "www", base: str = "url"
 ) -> DataFrame:
-    """``valid`` if one of the zips is a number on the page or on a contact or location page."""
+    """``valid`` if one of the zips is a number on the page or on a contact or location page.
+
+    ``base`` names the column with the URL in front of relative links, if it is not the page's own.
+    """
 
     def has_zip(numbers: Column) -> Column:
         zips = [F.coalesce(F.array_contains(numbers, F.col(z).cast("string")), F.lit(False)) for z in (zip_1, zip_2)]
@@ -217,18 +221,18 @@ def validate_zip(
     here = has_zip(numeric_tokens(F.col("html")))
     there = has_zip(F.col("_content"))
     content = numeric_tokens(F.col("html"))
-    return _match_page_or_linked(df, row_id, here, there, [zip_1, zip_2], pages, content, absolute_mark)
+    return _match_page_or_linked(df, row_id, here, there, [zip_1, zip_2], pages, content, absolute_mark, base)
 
 
 def validate_street(
-    df: DataFrame, row_id: str, street: str, pages: DataFrame, absolute_mark: str = "www"
+    df: DataFrame, row_id: str, street: str, pages: DataFrame, absolute_mark: str = "www", base: str = "url"
 ) -> DataFrame:
-    """``valid`` if the street name is in the text of the page or of a contact or location page."""
+    """``valid`` if the street name is in the text of the page or of a contact or location page; ``base`` as above."""
     name = street_name(F.col(street))
     here = (name != "") & plain_text(F.col("html")).contains(name)
     there = (name != "") & F.col("_content").contains(name)
     content = plain_text(F.col("html"))
-    return _match_page_or_linked(df, row_id, here, there, [street], pages, content, absolute_mark)
+    return _match_page_or_linked(df, row_id, here, there, [street], pages, content, absolute_mark, base)
 
 
 def text_with_frames(df: DataFrame, row_id: str, html: str, pages: DataFrame) -> DataFrame:

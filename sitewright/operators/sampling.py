@@ -148,11 +148,15 @@ def with_rank(df: DataFrame, keys: Sequence[str], seed: int, rows: int, name: st
 
 
 def drawn_rows(df: DataFrame, keys: Sequence[str], n: int, rows: int, seed: int) -> DataFrame:
-    """``n`` rows drawn with replacement from the ``rows`` rows of ``df``."""
-    ranked = with_rank(df, keys, seed, rows, "_rank")
+    """``n`` rows drawn with replacement from the ``rows`` rows of ``df``.
+
+    Keys alone are ranked, draws are counted per rank, and each drawn row is repeated after one join on its keys.
+    """
+    ranked = with_rank(df.select(*keys), keys, seed, rows, "_rank")
     number = hash_number(key_hash(["id"], seed))
-    draws = df.sparkSession.range(n).select((F.pmod(number, F.lit(rows)) + 1).alias("_rank"))
-    return draws.join(ranked, "_rank").drop("_rank")
+    draws = df.sparkSession.range(n).groupBy((F.pmod(number, F.lit(rows)) + 1).alias("_rank")).agg(F.count("*").alias("_n"))
+    copies = draws.join(ranked, "_rank").select(*keys, F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy"))
+    return df.join(copies, list(keys)).select(*df.columns)
 
 
 def oversample(

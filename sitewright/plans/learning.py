@@ -7,15 +7,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.functions import words
-from sitewright.operators import aggregates, features, models, rows, sampling, texts
+from sitewright.operators import aggregates, features, models, sampling
 from sitewright.operators.language import LanguageProfile
 from sitewright.plans import inputs
 from sitewright.plans import sqltext as q
 from sitewright.plans.inputs import LANGUAGES, SEED
 from sitewright.plans.registry import query
-from sitewright.plans.scoring import score_pages
+from sitewright.plans.scoring import score_pages, score_url_table
 from sitewright.session import new_table_path
-from sitewright.sources.tables import read_parquet, read_spread, save_stage
+from sitewright.sources.tables import read_parquet, read_spread, save_stage, write_table
 
 EMBEDDING = {"size": 50, "epochs": 5, "window": 10, "min_count": 3}
 TERMS = 300
@@ -155,9 +155,9 @@ def _hash_vector(word: Column) -> Column:
 def f6(spark: SparkSession, folder: str) -> DataFrame:
     corpus = inputs.corpus(spark, folder)
     tokens = words.tokens(F.col("text"))
-    known = save_stage(aggregates.term_counts(corpus, tokens).filter(F.col("tf") >= 3), "words")
+    known = aggregates.term_counts(corpus, tokens).filter(F.col("tf") >= 3)
     vectors = known.select(F.col("term").alias("word"), _hash_vector(F.col("term")).alias("vector"))
-    made = features.doc_vector(corpus, "doc_id", tokens, vectors, known.count())
+    made = features.doc_vector(corpus, "doc_id", tokens, vectors)
     return made.withColumn("doc_vector", F.round("doc_vector", 6))
 
 
@@ -172,15 +172,14 @@ def f6_trained(spark: SparkSession, folder: str) -> DataFrame:
     corpus = inputs.corpus(spark, folder)
     tokens = words.tokens(F.col("text"))
     model = features.train_word_vectors(corpus.select(tokens.alias("words")), "words", 200, 5, 3, 5)
-    vectors = features.word_vector_table(model)
-    return features.doc_vector(corpus, "doc_id", tokens, vectors, vectors.count())
+    return features.doc_vector(corpus, "doc_id", tokens, features.word_vector_table(model))
 
 
 @query("f7_document_embeddings")
 def f7(spark: SparkSession, folder: str) -> DataFrame:
     corpus = inputs.corpus(spark, folder).select("doc_id", words.tokens(F.col("text")).alias("words"))
     model = features.train_word_vectors(corpus, "words", **EMBEDDING)
-    return model.transform(corpus).select("doc_id", features.vector_to_array("embedding").alias("embedding"))
+    return features.document_embeddings(corpus, "doc_id", "words", model)
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,22 +298,6 @@ def m5(spark: SparkSession, folder: str) -> DataFrame:
     return models.grid_table(models.cross_validate(models.logistic_l1(size), everything, "key", folds=5))
 
 
-@query("m6_logistic_search")
-def m6(spark: SparkSession, folder: str) -> DataFrame:
-    train, _, _, size = _sets(spark, folder)
-    model = models.logistic_l1(size, max_iter=20)
-    grid = models.logistic_grid(model, size)[::16]
-    return models.grid_table(models.cross_validate(model, train, "key", folds=3, grid=grid))
-
-
-@query("m7_forest_search")
-def m7(spark: SparkSession, folder: str) -> DataFrame:
-    train, _, _, size = _sets(spark, folder)
-    model = models.random_forest(size)
-    grid = models.forest_grid(model, depths=(5, 10), trees=(10,))[::8]
-    return models.grid_table(models.cross_validate(model, train, "key", folds=3, grid=grid))
-
-
 def _saved_scorer(spark: SparkSession, folder: str) -> tuple[str, features.FeatureSet, object]:
     train, _, fitted, size = _balanced_sets(spark, folder)
     classifier = models.logistic_l1(size).fit(train)
@@ -330,9 +313,14 @@ def _score_unlabelled(spark: SparkSession, folder: str, path: str) -> DataFrame:
 
 @query("m8_save_and_load")
 def m8(spark: SparkSession, folder: str) -> DataFrame:
-    path, _, _ = _saved_scorer(spark, folder)
-    stages = PipelineModel.load(path).stages
-    return spark.createDataFrame([(i, type(s).__name__) for i, s in enumerate(stages)], "place int, stage string")
+    """Predictions of the loaded model, and whether those of the model in memory are the same."""
+    path, fitted, classifier = _saved_scorer(spark, folder)
+    corpus = inputs.corpus(spark, folder).select(F.col("doc_id").alias("key"), "text", "lang", "source")
+    before = models.predict(models.scoring_model(fitted, classifier), corpus)
+    after = _score_unlabelled(spark, folder, path)
+    renamed = before.select("key", F.col("predictions_proba").alias("proba_before"), F.col("predictions").alias("before"))
+    same = (F.col("proba_before") == F.col("predictions_proba")) & (F.col("before") == F.col("predictions"))
+    return after.join(renamed, "key").select("key", "predictions_proba", "predictions", same.alias("equal"))
 
 
 @query("m9_predict")
@@ -347,66 +335,32 @@ def m10(spark: SparkSession, folder: str) -> DataFrame:
     return models.coefficient_table(classifier, fitted, size=20)
 
 
-SEEDS = [22494, 123, 7, 99, 2024]
+def _with_zip(spark: SparkSession, folder: str) -> DataFrame:
+    base = inputs.labelled(spark, folder).select(F.col("doc_id").alias("key"), "text", "lang", "label")
+    zips = inputs.companies(spark, folder).select(
+        F.col("btw").alias("key"), F.coalesce("activity_zip", "main_zip").alias("zip")
+    )
+    return base.join(zips, "key")
 
 
-@query("m11_repeated_splits")
-def m11(spark: SparkSession, folder: str) -> DataFrame:
+@query("m14_zip_export")
+def m14(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions for all labelled rows by a model fitted on all of them."""
     documents = _documents(spark, folder)
     fitted = features.fit_features(documents, "text", TERMS, language="lang", embedding=EMBEDDING)
-    ready = features.assemble(documents, "key", fitted, keep=["label"])
-    scores = models.repeated_splits(ready, "key", SEEDS)
-    return aggregates.score_interval(scores, "accuracy", len(SEEDS))
-
-
-@query("m12_embedding_size_curve")
-def m12(spark: SparkSession, folder: str) -> DataFrame:
-    documents = _documents(spark, folder)
-    tokens = words.tokens(F.col("text"))
-    results = None
-    for fraction in (0.5, 0.75, 1.0):
-        part, _ = sampling.split(documents, ["key"], fraction, SEED)
-        model = features.train_word_vectors(part.select(tokens.alias("words")), "words", 200, 5, 3, 5)
-        vectors = features.word_vector_table(model)
-        means = features.doc_vector(documents, "key", tokens, vectors, vectors.count())
-        merged = documents.join(means, "key", "left").na.fill(0.0, ["doc_vector"])
-        fitted = features.fit_features(merged, "text", 400, extra=["doc_vector"])
-        ready = features.assemble(merged, "key", fitted, keep=["label"])
-        scores = models.repeated_splits(ready, "key", SEEDS[:2]).withColumn("fraction", F.lit(fraction))
-        results = scores if results is None else results.unionByName(scores)
-    return aggregates.mean_score(results, ["fraction"], ["accuracy"])
-
-
-@query("m13_revision_sensitivity")
-def m13(spark: SparkSession, folder: str) -> DataFrame:
-    configs = [
-        texts.Revision("SA01", stem=True, stop=True, min_length=2),
-        texts.Revision("SA14", stem=False, stop=False, min_length=3),
-    ]
-    documents = read_spread(spark, folder, "documents", "doc_id").filter(F.col("lang").isin(*LANGUAGES.both))
-    made = texts.build_revisions(documents, "doc_id", "text", "lang", LANGUAGES, configs)
-    labels = read_parquet(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
-    revisions = save_stage(made.join(labels, "doc_id"), "revisions")
-    results = None
-    for config in configs:
-        one = rows.enough_characters(revisions.filter(F.col("revision") == config.name), "text")
-        fitted = features.fit_features(one, "text", TERMS, embedding=EMBEDDING)
-        ready = features.assemble(one, "doc_id", fitted, keep=["label"])
-        scores = models.repeated_splits(ready, "doc_id", SEEDS[:2]).withColumn("revision", F.lit(config.name))
-        results = scores if results is None else results.unionByName(scores)
-    return aggregates.mean_score(results, ["revision"], ["accuracy", "macro_f1"])
+    ready = save_stage(features.assemble(documents, "key", fitted, keep=["label"]), "full")
+    classifier = models.logistic_l1(ready.count()).fit(ready)
+    known = _with_zip(spark, folder)
+    predicted = models.predict(models.scoring_model(fitted, classifier), known)
+    return models.export_by_zip(predicted, known, "key", "zip", "label")
 
 
-@query("m14_zip_export")
-def m14(spark: SparkSession, folder: str) -> DataFrame:
+@query("m14_zip_export_test")
+def m14_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions for the test part by a model fitted on the training part."""
     path, _, _ = _saved_scorer(spark, folder)
-    base = inputs.labelled(spark, folder).select(F.col("doc_id").alias("key"), "text", "lang", "label")
-    zips = inputs.companies(spark, folder).select(
-        F.col("btw").alias("key"), F.coalesce("activity_zip", "main_zip").alias("zip")
-    )
-    known = base.join(zips, "key")
-    predicted = models.predict(PipelineModel.load(path), known)
-    return models.export_by_zip(predicted, known, "key", "zip", "label")
+    _, test = sampling.split(_with_zip(spark, folder), ["key"], 0.8, SEED)
+    return models.export_by_zip(models.predict(PipelineModel.load(path), test), test, "key", "zip", "label")
 
 
 @query("m15_score_pages")
@@ -418,6 +372,16 @@ def m15(spark: SparkSession, folder: str) -> DataFrame:
     return score_pages(linked, linked, profile, LANGUAGES, PipelineModel.load(path), "lang")
 
 
+@query("m15_score_url_file")
+def m15_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A delimited file of URLs to predictions: read, fetch, language, switch, clean, score."""
+    path, _, _ = _saved_scorer(spark, folder)
+    linked = inputs.linked(spark, folder).select("page_id", "url", "html")
+    file = write_table(linked.select("page_id", "url"), new_table_path(spark, "urls"))
+    profile = LanguageProfile.fit(read_spread(spark, folder, "documents", "doc_id"), "text", "lang")
+    return score_url_table(file, linked, profile, LANGUAGES, PipelineModel.load(path), "lang")
+
+
 @query("m16_sector_model")
 def m16(spark: SparkSession, folder: str) -> DataFrame:
     documents = _documents(spark, folder)

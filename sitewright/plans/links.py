@@ -18,8 +18,8 @@ from sitewright.sources.tables import read_spread
 CODE, COUNTRY = "de", "be"
 
 
-def resolved(base: str, href: str) -> str:
-    return f"(case when contains({href}, 'http') then {href} else {base} || regexp_replace({href}, '^\\.+|\\.+$', '', 'g') end)"
+def resolved(base: str, href: str, mark: str = "http") -> str:
+    return f"(case when contains({href}, '{mark}') then {href} else {base} || regexp_replace({href}, '^\\.+|\\.+$', '', 'g') end)"
 
 
 @query(
@@ -107,9 +107,9 @@ def l5(spark: SparkSession, folder: str) -> DataFrame:
     return links.select("page.page_id", "position", target.alias("target"))
 
 
-def _crawl_sql(words) -> str:
+def _crawl_sql(words, mark: str = "http") -> str:
     wanted = " or ".join(f"contains(text, '{w}')" for w in words)
-    return f"select distinct page_id, {resolved('url', 'href')} as target from links where {wanted}"
+    return f"select distinct page_id, {resolved('url', 'href', mark)} as target from links where {wanted}"
 
 
 @query("l6_contact_pages", q.using("links", _crawl_sql(("cont",))))
@@ -122,6 +122,16 @@ def l7(spark: SparkSession, folder: str) -> DataFrame:
     return ops.crawl_links(inputs.linked(spark, folder), "page_id", "url", "html", ops.LOCATION_WORDS, "http")
 
 
+@query("l6_contact_pages_www", q.using("links", _crawl_sql(("cont",), "www")))
+def l6_www(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.crawl_links(inputs.linked(spark, folder), "page_id", "url", "html", ops.CONTACT_WORDS)
+
+
+@query("l7_location_pages_www", q.using("links", _crawl_sql(("vest", "loc"), "www")))
+def l7_www(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.crawl_links(inputs.linked(spark, folder), "page_id", "url", "html", ops.LOCATION_WORDS)
+
+
 SWITCH = f""",
     marks as (select page_id, count(*) filter (regexp_matches(hreflang, '{CODE}')) as m from links group by 1),
     marked as (select l.*, m from links l join marks using (page_id)),

@@ -266,7 +266,7 @@ def p11(spark: SparkSession, folder: str) -> DataFrame:
     manual = read_parquet(spark, folder, "supplier").select(
         (F.col("s_suppkey") * 2).alias("btw"), F.concat(F.lower("s_name"), F.lit(".example.com")).alias("found")
     )
-    merged = joins.left_join(_best_guess(spark, folder), manual, "btw", ["btw"])
+    merged = joins.left_join(_best_guess(spark, folder), manual, "btw")
     return merged.select("btw", urls.fill_best_guess(F.col("best_guess"), F.col("found")).alias("best_guess"))
 
 
@@ -332,7 +332,7 @@ def p18(spark: SparkSession, folder: str) -> DataFrame:
 def j1(spark: SparkSession, folder: str) -> DataFrame:
     orders = read_parquet(spark, folder, "orders").select("o_orderkey", "o_custkey")
     customer = read_parquet(spark, folder, "customer").withColumnRenamed("c_custkey", "o_custkey")
-    return joins.inner_project(orders, customer, "o_custkey", ["c_name", "c_mktsegment"], ["o_orderkey"])
+    return joins.inner_project(orders, customer, "o_custkey", ["c_name", "c_mktsegment"])
 
 
 @query(
@@ -343,7 +343,7 @@ def j1(spark: SparkSession, folder: str) -> DataFrame:
 def j2(spark: SparkSession, folder: str) -> DataFrame:
     customer = read_parquet(spark, folder, "customer").select("c_custkey", "c_name")
     supplier = read_parquet(spark, folder, "supplier").select(F.col("s_suppkey").alias("c_custkey"), "s_name", "s_acctbal")
-    return joins.left_join(customer, supplier, "c_custkey", ["c_custkey"])
+    return joins.left_join(customer, supplier, "c_custkey")
 
 
 @query(
@@ -465,7 +465,7 @@ def a5(spark: SparkSession, folder: str) -> DataFrame:
 def a6(spark: SparkSession, folder: str) -> DataFrame:
     items = read_parquet(spark, folder, "lineitem")
     runs = items.groupBy((F.col("l_partkey") % 100).alias("run")).agg(F.avg(F.col("l_discount") * 10).alias("a"))
-    return aggregates.score_interval(runs, "a", 100)
+    return aggregates.score_interval(runs, "a")
 
 
 @query(

@@ -8,18 +8,31 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitewright.functions.expressions import bind
-from sitewright.functions.html import page_text, remove_popups
+from sitewright.functions.words import count_words
 from sitewright.operators import models, pages, rows
 from sitewright.operators.features import training_sets
 from sitewright.operators.language import LanguageProfile
+from sitewright.operators.pages import text_with_frames
 from sitewright.operators.texts import Languages, html_to_text
-from sitewright.sources.tables import save_stage
+from sitewright.sources.tables import read_table, save_stage
 
 
-def detect_pages(df: DataFrame, html: str, profile: LanguageProfile, output: str = "language") -> DataFrame:
-    """Language of the text a visitor sees."""
-    shown = df.withColumn("_shown", bind(F.col(html), lambda h: page_text(remove_popups(h))))
+def detect_pages(
+    df: DataFrame,
+    row_id: str,
+    html: str,
+    profile: LanguageProfile,
+    page_table: DataFrame,
+    output: str = "language",
+    words: str | None = None,
+) -> DataFrame:
+    """Language of the text a visitor sees: without popups, with the frames that can be found.
+
+    ``words`` names an optional column with the number of words of that text.
+    """
+    shown = text_with_frames(df, row_id, html, page_table).withColumnRenamed("text", "_shown")
+    if words:
+        shown = shown.withColumn(words, count_words(F.col("_shown")))
     return profile.transform(shown, "_shown", output).drop("_shown")
 
 
@@ -30,8 +43,8 @@ def clean_pages(
 
     Detected languages are written once, because the switch looks at them from both sides of its join.
     """
-    table = save_stage(detect_pages(page_table.select("url", "html"), "html", profile), "page-languages")
-    known = save_stage(detect_pages(df.select("page_id", "url", "html"), "html", profile), "languages")
+    table = save_stage(detect_pages(page_table.select("url", "html"), "url", "html", profile, page_table), "page-languages")
+    known = save_stage(detect_pages(df.select("page_id", "url", "html"), "page_id", "html", profile, page_table), "languages")
     switched = pages.apply_switch(known, "page_id", table, languages.both, languages.primary, country)
     kept = save_stage(rows.in_languages(switched, "language", languages.both), "switched")
     texts = html_to_text(kept, "page_id", "html", "language", languages, page_table)
@@ -88,3 +101,22 @@ def score_pages(
     cleaned = clean_pages(df, page_table, profile, languages)
     corpus = rows.load_corpus(cleaned, "page_id", "text", language="language")
     return models.predict(model, corpus.withColumnRenamed("language", language))
+
+
+def score_url_table(
+    path: str,
+    page_table: DataFrame,
+    profile: LanguageProfile,
+    languages: Languages,
+    model: PipelineModel,
+    language: str = "language",
+    sep: str = ",",
+) -> DataFrame:
+    """From a delimited file of (page_id, url) to predictions: read, fetch from the page table, then ``score_pages``.
+
+    Rows without URL, or whose page is not in the table, have no prediction.
+    """
+    asked = read_table(page_table.sparkSession, path, "page_id long, url string", sep)
+    known = rows.with_url(asked, "url")
+    fetched = pages.attach_html(known, "page_id", "url", page_table, "url", "html").filter(F.col("html").isNotNull())
+    return score_pages(fetched, page_table, profile, languages, model, language)

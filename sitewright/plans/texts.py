@@ -13,6 +13,7 @@ from sitewright.plans import inputs
 from sitewright.plans import sqltext as q
 from sitewright.plans.inputs import LANGUAGES, SEED
 from sitewright.plans.registry import query
+from sitewright.plans.scoring import detect_pages
 from sitewright.sources.tables import read_parquet, read_spread
 
 # --- sampling, order, set operations --------------------------------------------------------
@@ -259,8 +260,36 @@ PAGE_GRAMS = f", texts as (select page_id as id, {q.trigrams('text')} as grams f
 @query("t11_detect_pages", PROFILE_SQL + PAGE_GRAMS + DETECT_SQL + " select id as page_id, language from detected")
 def t11_pages(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_spread(spark, folder, "pages", "page_id")
-    shown = pages.select("page_id", html.page_text(F.col("html")).alias("text"))
-    return profile(spark, folder).transform(shown, "text").select("page_id", "language")
+    found = detect_pages(pages.select("page_id", "url", "html"), "page_id", "html", profile(spark, folder), pages)
+    return found.select("page_id", "language")
+
+
+FRAMED_TEXT = f"""select f.page_id, trim(concat_ws(' ', {q.page_text('f.base_html')},
+           case when f.page_id % 3 = 0 and contains(f.base_html, '</body>') then {q.page_text('a.html')} end,
+           case when f.page_id % 3 = 0 and contains(f.base_html, '</body>') then {q.page_text('b.html')} end)) as text
+    from framed f join upages a on a.norm = {q.fix_http('f.u1')} join upages b on b.norm = {q.fix_http('f.u2')}"""
+
+
+@query(
+    "t11_detect_framed_pages",
+    q.using(
+        "framed upages",
+        ", shown as ("
+        + FRAMED_TEXT
+        + "),"
+        + PROFILE_SQL.replace("with grams", " grams", 1)
+        + f", texts as (select page_id as id, {q.trigrams('text')} as grams from shown)"
+        + DETECT_SQL
+        + f""" select id as page_id, language, cast({q.word_count('text')} as integer) as words
+               from detected join shown on shown.page_id = detected.id""",
+    ),
+)
+def t11_framed(spark: SparkSession, folder: str) -> DataFrame:
+    """Popups go, frames count, as in the text a visitor sees; with its number of words."""
+    pages = read_spread(spark, folder, "pages", "page_id")
+    framed = inputs.framed(spark, folder).select("page_id", "url", "html")
+    found = detect_pages(framed, "page_id", "html", profile(spark, folder), pages, words="words")
+    return found.select("page_id", "language", "words")
 
 
 @query(
@@ -269,7 +298,7 @@ def t11_pages(spark: SparkSession, folder: str) -> DataFrame:
 )
 def l13(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_spread(spark, folder, "pages", "page_id")
-    shown = pages.select("page_id", html.page_text(F.col("html")).alias("text"))
+    shown = text_with_frames(pages.select("page_id", "html"), "page_id", "html", pages)
     return language_table(shown, "text", profile(spark, folder))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sitewright.operators import features, metrics, models, sampling
 from sitewright.operators.language import LanguageProfile
+from sitewright.plans import experiments
 from sitewright.plans.scoring import TrainingConfig, train_scorer
 
 WORDS = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
@@ -120,9 +121,45 @@ def test_unknown_language(spark, tmp_path):
 def test_doc_vector_counts_known_words_only(spark):
     df = spark.createDataFrame([(1, "aa bb zz"), (2, "zz")], "key int, text string")
     vectors = spark.createDataFrame([("aa", [1.0, 3.0]), ("bb", [0.0, 0.0])], "word string, vector array<double>")
-    for known in (2, 3_000_000):  # both join strategies
-        got = features.doc_vector(df, "key", F.split("text", " "), vectors, known).collect()
-        assert [(r.key, r.doc_vector) for r in got] == [(1, 1.0)]
+    got = features.doc_vector(df, "key", F.split("text", " "), vectors).collect()
+    assert [(r.key, r.doc_vector) for r in got] == [(1, 1.0)]
+
+
+def test_embeddings_are_means_of_known_words_under_any_session_setting(spark):
+    df = spark.createDataFrame([(1, "aa bb aa rare"), (2, "bb cc cc bb"), (3, "once"), (4, "aa cc bb")], "key int, text string")
+    df = df.withColumn("words", F.split("text", " ")).drop("text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    results = []
+    for parts in ("3", "17"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        model = features.train_word_vectors(df, "words", 4, 2, 2, 2)
+        vectors = {r.word: list(r.vector) for r in features.word_vector_table(model).collect()}
+        assert set(vectors) == {"aa", "bb", "cc"}
+        got = {r.key: r.embedding for r in features.document_embeddings(df, "key", "words", model).collect()}
+        for key, known in ((1, ["aa", "bb", "aa"]), (2, ["bb", "cc", "cc", "bb"]), (4, ["aa", "cc", "bb"])):
+            want = [sum(vectors[w][i] for w in known) / len(known) for i in range(4)]
+            assert got[key] == pytest.approx(want)
+        assert got[3] == [0.0] * 4
+        results.append(got)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1]
+
+
+def test_experiments_on_small_settings(spark, documents):
+    _, fitted = None, features.fit_features(documents, "text", 8)
+    ready = features.assemble(documents, "key", fitted, keep=["label"])
+    row = experiments.repeated_accuracy(ready, "key", seeds=(1, 2, 3), oversample_value=1, total=90).first()
+    assert row.n == 3 and 0.8 < row["mean"] <= 1
+    embedding = {"size": 4, "epochs": 1, "window": 2, "min_count": 1}
+    curve = experiments.embedding_size_curve(documents, "key", "text", 8, embedding, fractions=(0.5, 1.0), seeds=(1,))
+    assert {r.fraction for r in curve.collect()} == {0.5, 1.0}
+    revisions = documents.withColumn("revision", F.explode(F.array(F.lit("A"), F.lit("B"))))
+    assert {r.revision for r in experiments.revision_sensitivity(revisions, "key", "text", 8, seeds=(1,)).collect()} == {"A", "B"}
+
+
+def test_depth_beyond_the_learner_is_refused():
+    with pytest.raises(ValueError, match="deep"):
+        models.random_forest(100, depth=100)
 
 
 def test_word_vectors_have_the_asked_size(documents):
