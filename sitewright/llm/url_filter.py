@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitewright.functions.html import page_text
 from sitewright.llm.texts import ascii_lower, narrow, whole
-from sitewright.operators.joins import lookup
+from sitewright.operators.joins import SALTS, lookup
 from sitewright.sources.tables import save_stage
 
 ALLOW, BLOCK = "allow", "block"
@@ -198,7 +198,7 @@ def judge(
         .select(F.concat_ws(":", "place", "run").alias("part"), "weight")
     )
     asked = parts.select("url_id", F.concat_ws(":", "place", "run").alias("part"))
-    scores = lookup(asked, run_scores, "part", ["url_id"]).groupBy("url_id").agg(F.sum("weight").alias("evidence"))
+    scores = lookup(asked, run_scores, "part", ["url_id"], salts=SALTS).groupBy("url_id").agg(F.sum("weight").alias("evidence"))
     start = math.log(blocked / allowed) if taught else 0.0
     score = (F.lit(start) + F.coalesce("evidence", F.lit(0.0))) if taught else F.lit(0.0)
     decided = (
