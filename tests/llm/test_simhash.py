@@ -12,12 +12,13 @@ from sitewright.llm.components import connected_components
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def brute_mark(text, k=3):
+def brute_mark(text, k=3, distinct=False):
     words = (text or "").encode().translate(LOWER).replace(b"\x0b", b" ").replace(b"\x0c", b" ").split()
     if not words:
         return 0
-    n = max(1, len(words) - k + 1)
-    hashes = [xxhash.xxh64(b" ".join(words[i : i + k]), seed=42).intdigest() for i in range(n)]
+    parts = [b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    parts = list(set(parts)) if distinct else parts
+    hashes, n = [xxhash.xxh64(p, seed=42).intdigest() for p in parts], len(parts)
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
 
 
@@ -37,9 +38,9 @@ def brute_classes(marks, distance):
     return {m: find(m) for m in keys}
 
 
-def brute(rows):
-    marks = [brute_mark(t) for _, t in rows]
-    root = brute_classes(set(marks), 3)
+def brute(rows, k=3, distinct=False, distance=3):
+    marks = [brute_mark(t, k, distinct) for _, t in rows]
+    root = brute_classes(set(marks), distance)
     smallest = {}
     for (i, _), m in zip(rows, marks, strict=True):
         if i is not None:
@@ -69,18 +70,18 @@ def test_classes_of_hard_rows(frame, hard_rows):
 def test_one_row_per_class_stays(frame, hard_rows):
     rows = hard_rows + near_rows()
     kept = simhash.keep_one_per_class(frame(rows)).collect()
-    want, root, marks = brute(rows)
+    want, root, marks = brute(rows, 2, True, 8)
     classes = {}
     for (i, t), m in zip(rows, marks, strict=True):
         classes.setdefault(root[m], []).append(i)
     assert len(kept) == len(classes)
     for r in kept:
-        ids = [i for i in classes[root[brute_mark(r.text)]] if i is not None]
+        ids = [i for i in classes[root[brute_mark(r.text, 2, True)]] if i is not None]
         assert r.doc_id == min(ids, default=None) and r.digest == "clash"
     assert simhash.keep_one_per_class(frame([])).collect() == []
 
 
-@pytest.mark.parametrize("distance,blocks", [(0, 1), (1, 3), (3, 4), (3, 5), (3, 6)])
+@pytest.mark.parametrize("distance,blocks", [(0, 1), (1, 3), (3, 4), (3, 5), (3, 6), (8, 11)])
 def test_links_of_crowded_fingerprints(spark, distance, blocks):
     rng = random.Random(distance * 10 + blocks)
     marks = set()
@@ -109,3 +110,22 @@ def test_long_chain_is_one_component(spark):
     chain = spark.range(500).selectExpr("(id * 7919) % 500 as a", "((id + 1) * 7919) % 500 as b")
     rows = connected_components(chain, "a", "b").collect()
     assert len(rows) == 500 and {r.root for r in rows} == {0}
+
+
+def test_copies_of_five_word_similarity_are_caught(frame):
+    """Texts with 0.8 or more common five-word shingles fall into one class, unrelated ones do not."""
+    rng = random.Random(11)
+    vocabulary = [f"{rng.choice('abcdefgh')}{i}" for i in range(4000)]
+    rows, pairs = [], []
+    for i in range(60):
+        words = rng.choices(vocabulary, k=rng.randint(60, 400))
+        copy = list(words)
+        for _ in range(len(words) // 60):
+            copy[rng.randrange(len(copy))] = "changed"
+        five = [{tuple(x[j : j + 5]) for j in range(len(x) - 4)} for x in (words, copy)]
+        if len(five[0] & five[1]) / len(five[0] | five[1]) >= 0.8:
+            pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    kept = {r.doc_id for r in simhash.keep_one_per_class(frame(rows)).collect()}
+    assert all(i % 2 or i in kept for i in range(120))  # originals stay
+    assert sum(b not in kept for _, b in pairs) >= 0.9 * len(pairs) > 20
