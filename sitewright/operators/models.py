@@ -126,6 +126,11 @@ def train_model(estimator, train: DataFrame, test: DataFrame, path: str | None =
     model = estimator.fit(train)
     if path:
         model.write().overwrite().save(path)
+    return evaluate(model, train, test)
+
+
+def evaluate(model, train: DataFrame, test: DataFrame) -> TrainedModel:
+    """A fitted model with both parts scored."""
     return TrainedModel(model, positive_share(model.transform(train)), positive_share(model.transform(test)))
 
 

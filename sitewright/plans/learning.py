@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -214,31 +216,58 @@ def f9(spark: SparkSession, folder: str) -> DataFrame:
 # --- models ---------------------------------------------------------------------------------
 
 
+ROWS_PER_PART = 20_000  # an optimizer step is a job; parts of this size keep its tasks worth starting
+
+# What several queries of one session share: feature sets and the classifier of a folder of tables.
+_SHARED: dict[tuple, object] = {}
+
+
+def _shared(spark: SparkSession, folder: str, name: str, make):
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
 def _sets(spark: SparkSession, folder: str, **options) -> tuple[DataFrame, DataFrame, features.FeatureSet, int]:
     """Train and test features (saved, since a fit reads them many times) and the training size."""
     documents = _documents(spark, folder)
     settings = {"language": "lang", "embedding": EMBEDDING, **options}
     train, test, fitted = features.training_sets(documents, "key", "text", "label", 0.8, SEED, TERMS, **settings)
     train, test = save_stage(train, "train"), save_stage(test, "test")
-    return train, test, fitted, train.count()
+    size = train.count()
+    return train.coalesce(math.ceil(size / ROWS_PER_PART) or 1), test, fitted, size
 
 
 def _balanced_sets(spark: SparkSession, folder: str, **options):
     labels = read_parquet(spark, folder, "labels").select("quality")
     total = labels.filter("quality = 1").count()
-    return _sets(spark, folder, oversample_value=0, total=total, **options)
+    name = f"balanced {sorted(options.items())}"
+    return _shared(spark, folder, name, lambda: _sets(spark, folder, oversample_value=0, total=total, **options))
+
+
+def _plain_sets(spark: SparkSession, folder: str):
+    return _shared(spark, folder, "plain", lambda: _sets(spark, folder))
+
+
+def _classifier(spark: SparkSession, folder: str):
+    train, _, _, size = _balanced_sets(spark, folder)
+    return _shared(spark, folder, "classifier", lambda: models.logistic_l1(size).fit(train))
+
+
+def _trained(spark: SparkSession, folder: str) -> models.TrainedModel:
+    train, test, _, _ = _balanced_sets(spark, folder)
+    return models.evaluate(_classifier(spark, folder), train, test)
 
 
 @query("m1_logistic_l1")
 def m1(spark: SparkSession, folder: str) -> DataFrame:
-    train, test, _, size = _balanced_sets(spark, folder)
-    fitted = models.train_model(models.logistic_l1(size), train, test)
-    return fitted.test.select("key", "label", "proba", "prediction")
+    return _trained(spark, folder).test.select("key", "label", "proba", "prediction")
 
 
 @query("m2_random_forest")
 def m2(spark: SparkSession, folder: str) -> DataFrame:
-    train, test, _, size = _sets(spark, folder)
+    train, test, _, size = _plain_sets(spark, folder)
     fitted = models.train_model(models.random_forest(size, trees=300, depth=15, min_rows=4), train, test)
     return fitted.test.select("key", "label", "proba", "prediction")
 
@@ -274,15 +303,12 @@ def m3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m4_train_report")
 def m4(spark: SparkSession, folder: str) -> DataFrame:
-    train, test, _, size = _balanced_sets(spark, folder)
-    path = new_table_path(spark, "classifier")
-    return models.train_model(models.logistic_l1(size), train, test, path).report()
+    return _trained(spark, folder).report()
 
 
 @query("m4_train_histograms")
 def m4_histograms(spark: SparkSession, folder: str) -> DataFrame:
-    train, test, _, size = _balanced_sets(spark, folder)
-    return models.train_model(models.logistic_l1(size), train, test).histograms()
+    return _trained(spark, folder).histograms()
 
 
 @query("m4_prebuilt_accuracies")
@@ -293,17 +319,22 @@ def m4_prebuilt(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m5_cross_validation")
 def m5(spark: SparkSession, folder: str) -> DataFrame:
-    train, test, _, size = _sets(spark, folder)
+    train, test, _, size = _plain_sets(spark, folder)
     everything = train.unionByName(test)
     return models.grid_table(models.cross_validate(models.logistic_l1(size), everything, "key", folds=5))
 
 
 def _saved_scorer(spark: SparkSession, folder: str) -> tuple[str, features.FeatureSet, object]:
-    train, _, fitted, size = _balanced_sets(spark, folder)
-    classifier = models.logistic_l1(size).fit(train)
-    path = new_table_path(spark, "scorer")
-    models.scoring_model(fitted, classifier).write().save(path)
-    return path, fitted, classifier
+    """One saved scorer per session and folder."""
+    _, _, fitted, _ = _balanced_sets(spark, folder)
+    classifier = _classifier(spark, folder)
+
+    def save() -> str:
+        path = new_table_path(spark, "scorer")
+        models.scoring_model(fitted, classifier).write().save(path)
+        return path
+
+    return _shared(spark, folder, "scorer", save), fitted, classifier
 
 
 def _score_unlabelled(spark: SparkSession, folder: str, path: str) -> DataFrame:

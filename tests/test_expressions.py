@@ -152,3 +152,25 @@ def test_softmax(spark):
     got = values(spark, [([1.0, 2.0, 3.0],), ([1000.0, 1000.0, 1000.0],)], words.softmax(F.col("x")), "x array<double>")
     assert got[0] == pytest.approx([0.0900306, 0.2447285, 0.6652410], abs=1e-6)
     assert got[1] == pytest.approx([1 / 3] * 3)
+
+
+STEMS = {  # written by hand, not derived from the rule table
+    "en": {
+        "relational": "relate", "hopefulness": "hopeful", "running": "runn", "cities": "citi", "agreement": "agre", "classes": "class",
+        "sings": "sing", "was": "was", "quickly": "quick", "happy": "happi", "tried": "tri", "glass": "glass", "the": "the",
+    },
+    "de": {"freundlichkeiten": "freundlichkeit", "zeitungen": "zeit", "kinder": "kind", "musik": "mus", "der": "der", "tages": "tag"},
+    "nl": {"vrijheden": "vrijheid", "boeken": "boek", "huisje": "huis", "het": "het", "oefeningen": "oefen"},
+}
+
+
+def test_stems_by_hand(spark):
+    rows = [(code, word, stem) for code, words in STEMS.items() for word, stem in words.items()]
+    df = spark.createDataFrame(rows, "lang string, word string, want string")
+    got = df.withColumn("got", words.stem_text(F.col("word"), F.col("lang"), ("en", "de", "nl"))).collect()
+    assert {(r.lang, r.word): r.got for r in got} == {(lang, word): stem for lang, word, stem in rows}
+
+
+def test_words_of_any_script(spark):
+    df = spark.createDataFrame([("für ältere Mädchen, niños: été_1 日本",)], "text string")
+    assert df.select(words.tokens(F.col("text"))).first()[0] == ["für", "ältere", "mädchen", "niños", "été_1", "日本"]
