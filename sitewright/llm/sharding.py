@@ -19,7 +19,7 @@ ROW_BYTES = 16
 OLD_SHARDS = 32
 SHARDS = 40
 BLOCK_BYTES = 8 << 20  # text bytes of a block, the unit in which files are kept or rewritten
-REFINEMENTS = 2
+REFINEMENTS = 3
 
 
 def moving_cost(old: int, new: int) -> int:
@@ -187,8 +187,9 @@ def plan(rows: DataFrame, capacities: Sequence[int], refinements: int = REFINEME
         flow = {k: v for k, v in transfers(now, capacities).items() if k[0] != k[1]}
         if not flow:
             break
-        group = planned.groupBy("target", "shard", "block").agg(F.max("size").alias("largest"))
-        chosen = group.groupBy("target").agg(F.min(F.struct("shard", "block")).alias("at"))
+        group = planned.groupBy("target", "shard", "block").agg(F.count("*").alias("n"))
+        chosen = group.groupBy("target").agg(F.max(F.struct("n", "shard", "block")).alias("most"))
+        chosen = chosen.select("target", F.struct("most.shard", "most.block").alias("at"))
         near = planned.join(F.broadcast(chosen), "target").filter(F.struct("shard", "block") == F.col("at"))
         as_rows = near.select(F.col("target").alias("shard"), F.lit(0).alias("block"), "size", F.struct("shard", "block", "place").alias("id"))
         moved = _cut(as_rows, flow, [F.col("size"), F.col("id")]).filter("target <> shard")
