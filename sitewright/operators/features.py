@@ -190,10 +190,11 @@ def document_embeddings(df: DataFrame, key: str, words: str, model: Word2VecMode
     size = model.getVectorSize()
     counts = df.select(key, F.explode(words).alias("word")).groupBy(key, "word").count()
     known = counts.join(model.getVectors(), "word")
-    means = known.groupBy(key).agg(Summarizer.mean(F.col("vector"), F.col("count").cast("double")).alias("_mean"))
+    mean = Summarizer.mean(F.col("vector"), F.col("count").cast("double"))
+    means = known.groupBy(key).agg(mean.alias("_mean")).select(key, vector_to_array("_mean").alias("_mean"))
     zeros = F.array_repeat(F.lit(0.0), size)
     joined = df.select(key).distinct().join(means, key, "left")
-    return joined.select(key, F.coalesce(vector_to_array("_mean"), zeros).alias(output))
+    return joined.select(key, F.coalesce("_mean", zeros).alias(output))
 
 
 def word_vector_table(model: Word2VecModel) -> DataFrame:
