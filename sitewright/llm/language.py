@@ -19,6 +19,7 @@ GRAMS_PER_LANGUAGE = 4_000  # most frequent n-grams kept per language
 SMOOTHING = 0.5
 STEP = 0.25  # n-grams whose log-likelihoods agree to this many nats are counted together
 ROUNDS = 30
+MIN_SHARE = 0.01  # proportion in the full mixture from which a language is considered
 PENALTY = 4.0  # times log(n-grams) for each further language
 SLICE = 500_000  # characters handled at a time
 
@@ -129,7 +130,8 @@ class LanguageModel:
         """(rows, languages): proportions within the chosen language set.
 
         Languages are ordered by their proportion in the full mixture; of the leading one, two, three ... languages, the
-        set with the largest log-likelihood less ``penalty * log(n)`` per further language is chosen.
+        set with the largest log-likelihood less ``penalty * log(n)`` per further language is chosen. A language with next to
+        no proportion in the full mixture is not considered.
         """
         import numpy as np
 
@@ -138,17 +140,16 @@ class LanguageModel:
         order = np.argsort(-full, axis=1, kind="stable")
         place = np.argsort(order, axis=1, kind="stable")
         cost = penalty * np.log(np.maximum(counts.sum(axis=1), 2))
-        best, value = None, None
-        for k in range(1, size + 1):
-            shares, fit = self._maximize(counts, (place < k).astype(float))
-            fit = fit - cost * (k - 1)
-            if best is None:
-                best, value = shares, fit
-            else:
-                better = fit > value
-                best[better], value[better] = shares[better], fit[better]
-            if not (full[np.arange(len(full)), order[:, min(k, size - 1)]] > 0.01).any():
-                break  # what is left has next to no proportion in any row
+        best = (place == 0).astype(float)
+        value = (counts * np.log(self.profiles.T[order[:, 0]])).sum(axis=1)
+        for k in range(2, size + 1):
+            rows = np.flatnonzero(full[np.arange(len(full)), order[:, k - 1]] > MIN_SHARE)
+            if not len(rows):
+                break
+            shares, fit = self._maximize(counts[rows], (place[rows] < k).astype(float))
+            fit = fit - cost[rows] * (k - 1)
+            better = fit > value[rows]
+            best[rows[better]], value[rows[better]] = shares[better], fit[better]
         none = counts.sum(axis=1) == 0  # letters, but no known n-gram
         best[none] = 1 / size + np.eye(size)[self.common] * 1e-9
         return best
