@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +16,13 @@ ORDER = 5  # characters per n-gram
 BITS = 12  # per character
 CLASSES = (1 << BITS) - 2  # characters are counted in this many classes by code point
 PAD, END = 0, 1
-QUANTILE = 0.995  # of the trusted documents of a language
+CALIBRATION = 4  # one trusted document in so many is not trained on and sets the thresholds instead
+QUANTILE = 0.995  # of these documents of a language
 MARGIN = 0.02  # nats per character by which a document may exceed its language's quantile
 STEPS = 1000  # thresholds are exact to 1 / STEPS nats
 SLICE = 1_000_000
-BLOCK_ROWS = 8_000
+BLOCK_ROWS = 16_000
+PACK_CHARS = 200_000  # texts of a block are packed and compressed in parts of this size before they travel
 MASK = [(1 << (BITS * n)) - 1 for n in range(ORDER + 1)]
 
 
@@ -151,32 +154,78 @@ class NgramModel:
         return below.select("gram", F.log("p").alias("logp"))
 
 
-def _score_block(key, documents: pa.Table, table: pa.Table) -> pa.Table:
-    """Mean log-probability of each document of a block from the block's own table of grams."""
+def pack_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Worker function: (block, row, text) -> block, rows, packed: neighboring texts of a block compressed together."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        blocks, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
+        start = 0
+        out: tuple[list, list, list] = ([], [], [])
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and blocks[end] == blocks[start] and size < PACK_CHARS:
+                size += len(texts[end])
+                end += 1
+            lengths = [len(t.encode()) for t in texts[start:end]]
+            head = len(lengths).to_bytes(4, "big") + b"".join(n.to_bytes(8, "big") for n in lengths)
+            out[0].append(blocks[start])
+            out[1].append((start, end))
+            out[2].append(packer.compress(head + "".join(texts[start:end]).encode()))
+            start = end
+        offsets = pa.array([s for s, _ in out[1]] + [len(texts)], pa.int32())
+        rows = pa.ListArray.from_arrays(offsets, batch.column(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out[0], pa.int64()), rows, pa.array(out[2], pa.binary())], names=["block", "rows", "packed"]
+        )
+
+
+def unpack(packed: bytes) -> list[str]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    count = int.from_bytes(raw[:4], "big")
+    lengths = [int.from_bytes(raw[4 + 8 * i : 12 + 8 * i], "big") for i in range(count)]
+    at, texts = 4 + 8 * count, []
+    for n in lengths:
+        texts.append(raw[at : at + n].decode())
+        at += n
+    return texts
+
+
+def _score_block(key, packs: pa.Table, table: pa.Table) -> pa.Table:
+    """Mean log-probability of each document of a block from the block's own table of grams, pack by pack."""
     import numpy as np
 
-    grams, logp = table.column("gram").to_numpy(), table.column("logp").to_numpy()
-    order = np.argsort(grams)
-    grams, logp = grams[order], logp[order]
-    total, size = np.zeros(documents.num_rows), np.zeros(documents.num_rows)
-    for chunk_start in range(0, documents.num_rows, 500):
-        texts = documents.column("text").slice(chunk_start, 500).to_pylist()
+    grams, first = np.unique(table.column("gram").to_numpy(), return_index=True)
+    logp = table.column("logp").to_numpy()[first]
+    losses = []
+    for packed in packs.column("packed"):
+        texts = unpack(packed.as_py())
+        total, size = np.zeros(len(texts)), np.zeros(len(texts))
         for owners, codes in gram_slices(texts):
-            values = logp[np.searchsorted(grams, codes)]
-            total += np.bincount(owners + chunk_start, values, minlength=len(total))
-            size += np.bincount(owners + chunk_start, minlength=len(size))
-    scored = -total / np.maximum(size, 1)
-    return documents.drop_columns(["block", "text"]).append_column("loss", pa.array(scored, pa.float64()))
+            total += np.bincount(owners, logp[np.searchsorted(grams, codes)], minlength=len(texts))
+            size += np.bincount(owners, minlength=len(texts))
+        losses.append(-total / size)
+    rows = pc.list_flatten(packs.column("rows"))
+    return pa.table({"row": rows, "loss": pa.array(np.concatenate(losses), pa.float64())})
 
 
-def default_block(text: str) -> Column:
-    """Blocks for frames that have no file positions."""
-    return F.pmod(F.xxhash64(F.col(text)), F.lit(64)).cast("long")
+def default_position(doc_id: str, text: str) -> tuple[Column, Column]:
+    """(block, place) for frames that have no file positions."""
+    return F.pmod(F.xxhash64(F.col(text)), F.lit(64)).cast("long"), F.xxhash64(F.col(doc_id), F.col(text))
 
 
-def file_block(rows: int = BLOCK_ROWS) -> Column:
-    """Blocks of neighboring rows of a Parquet file, so that one task meets a whole block without a shuffle."""
-    return F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows))
+def file_position(rows: int = BLOCK_ROWS) -> tuple[Column, Column]:
+    """(block, place): blocks of neighboring rows of a Parquet file, so that one task meets a whole block without a shuffle."""
+    index = F.col("_metadata.row_index")
+    return F.xxhash64("_metadata.file_path", F.floor(index / rows)), index
+
+
+def calibrates(doc_id: str) -> Column:
+    """True for the trusted documents that set thresholds and are not trained on."""
+    return F.pmod(F.xxhash64(F.col(doc_id)), F.lit(CALIBRATION)) == 0
 
 
 def score_documents(
@@ -187,40 +236,46 @@ def score_documents(
     lang: str = "lang",
     label_id: str = "doc_id",
     quality: str = "quality",
-    block: Column | None = None,
+    position: tuple[Column, Column] | None = None,
     quantile: float = QUANTILE,
     margin: float = MARGIN,
 ) -> DataFrame:
     """One row per document: doc_id, lang, perplexity, threshold, kept.
 
-    A character model of order 5 is trained on the whole texts of the documents labelled 1. Perplexity is per character (and
-    one end per text). A language's threshold is the ``quantile`` of its trusted documents' loss plus ``margin``
-    nats; documents above it are not kept. A language without trusted documents has no threshold (null) and keeps all;
+    A character model of order 5 is trained on the whole texts of the documents labelled 1, but for every fourth of them by
+    hash of doc_id. Perplexity is per character (and one end per text). A language's threshold is the ``quantile`` of
+    the loss of those left out, plus ``margin`` nats, so it holds for texts the model has not seen; documents above it
+    are not kept. A language without such documents has no threshold (null) and keeps all;
     a null lang is a group of its own. Null counts as empty: its only n-gram is the end. Without any trusted text all
     are kept and perplexity is that of equal chances. Repeated rows come out each; an empty table gives no rows;
     further columns are ignored.
 
     Each block of documents asks for its distinct n-grams only. They are joined to the model's counts, which are
-    spread by n-gram, and the answers meet the texts of their block again, so what is shuffled are the texts once
-    and per block a table of its n-grams. ``block`` is a bigint expression on ``docs``; see ``file_block``.
+    spread by n-gram, and the answers meet the texts of their block again, so what is shuffled are the texts once,
+    compressed, and per block a table of its n-grams. Labels are joined to ids alone; a block then gets the list of its
+    trusted rows. ``position`` has two bigint expressions on ``docs``: the block, and what tells its rows apart (rows
+    that agree in it must have the same id and text); see ``file_position``.
     """
+    block, place = position or default_position(doc_id, text)
     base = docs.select(
-        (default_block(text) if block is None else block).alias("block"),
-        F.col(doc_id).alias("doc_id"),
-        F.col(lang).alias("lang"),
-        F.col(text).alias("text"),
+        block.alias("block"), place.alias("place"), F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")
     )
     good = labels.filter(F.col(quality) == 1).select(F.col(label_id).alias("doc_id")).distinct()
-    model = NgramModel(base.join(good, "doc_id", "left_semi").select("block", "text"))
-    asked = save_stage(_gram_counts(base.select("block", "text")).select("block", "gram").distinct(), "asked")
+    learned, checked = good.filter(~calibrates("doc_id")), good.filter(calibrates("doc_id"))
+    places = base.select("block", "place", "doc_id").join(learned, "doc_id", "left_semi").groupBy("block")
+    trusted = save_stage(places.agg(F.collect_set("place").alias("places")), "trusted")
+    marked = base.select("block", "place", "text").join(trusted, "block").filter(F.array_contains("places", F.col("place")))
+    model = NgramModel(marked.select("block", "text"))
+    asked = save_stage(_gram_counts(base.select("block", "text")).select("block", "gram"), "asked")
     known = model.log_probabilities(asked.select("gram").distinct())
     answers = asked.join(known, "gram").select("block", "gram", F.col("logp").cast("float").alias("logp"))
-    kinds = base.schema["doc_id"].dataType.simpleString(), base.schema["lang"].dataType.simpleString()
-    scored = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        _score_block, f"doc_id {kinds[0]}, lang {kinds[1]}, loss double"
-    )
+    rows = base.select("block", F.struct("doc_id", "lang").alias("row"), "text")
+    kind = rows.schema["row"].dataType.simpleString()
+    packs = rows.mapInArrow(pack_partitions, f"block long, rows array<{kind}>, packed binary")
+    scored = packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, f"row {kind}, loss double")
+    scored = scored.select("row.doc_id", "row.lang", "loss")
     scored = save_stage(scored, "losses")
-    limits = _thresholds(scored.join(good, "doc_id", "left_semi"), quantile, margin)
+    limits = _thresholds(scored.join(checked, "doc_id", "left_semi"), quantile, margin)
     limited = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["limit_lang"]), "left")  # a row per language
     return limited.select(
         "doc_id",

@@ -64,7 +64,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_perplexity")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     labels = read_parquet(spark, folder, "labels")
-    return quality.score_documents(documents(spark, folder), labels, block=quality.file_block())
+    return quality.score_documents(documents(spark, folder), labels, position=quality.file_position())
 
 
 @query("op4_url_words")
