@@ -14,7 +14,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
     )
     lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(lowest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+    return both.filter("v > u").join(lowest, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -24,10 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct()
 
 
+def _is_settled(star: DataFrame) -> bool:
+    """Every larger end has one smaller end, and no smaller end is a larger one."""
+    larger = star.groupBy("hi").count()
+    smaller = star.select(F.col("lo").alias("hi")).distinct()
+    again = larger.join(smaller, "hi", "left_semi").select("hi")
+    return larger.filter("count > 1").select("hi").unionByName(again).isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node that has an edge; the root is the smallest node of its component.
 
-    Edges are undirected; loops and repeated edges do no harm. Each round is two joins and two aggregates on
+    Edges are undirected; loops and repeated edges do no harm. Each round is two joins and three aggregates on
     narrow rows; its result is written to the shared folder, which cuts the lineage. The number of rounds grows with
     the logarithm of the component's size.
     """
@@ -35,12 +43,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     star = save_stage(
         edges.filter(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "edges"
     )
-    mark = None
-    while True:
-        now = star.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-        if now == mark:
-            return star.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
-                star.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
-            )
-        mark = now
+    while not _is_settled(star):
         star = save_stage(_small_star(_large_star(star)), "edges")
+    return star.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
+        star.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    )
