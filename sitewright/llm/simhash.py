@@ -137,7 +137,7 @@ def fingerprint_links(marks: DataFrame, distance: int = DISTANCE, blocks: int =
         F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))) for i, mask in enumerate(block_masks(distance, blocks))
     ]  # buckets that meet by their hash only cost comparisons: links are verified
     keyed = marks.select("fp", F.explode(F.array(*buckets)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").count().filter("count > 1")
+    sizes = keyed.groupBy("bucket").count()
     own = F.pmod(F.xxhash64("fp"), F.col("chunks"))
     cells = (
         keyed.join(sizes, "bucket")
