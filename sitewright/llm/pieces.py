@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sitewright.llm.texts import narrow
 
 SPACE = "▁"  # stands for a space in pieces
-CACHE_ENTRIES = 400_000  # remembered segments and pairs; they only save time
+CACHE_ENTRIES = 250_000  # remembered segments and pairs; they only save time
 
 
 class Remembered(dict):
