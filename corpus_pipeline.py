@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from all texts; n_chars is that of what is left."""
-    kept = line_dedup.drop_repeated_lines(docs, keep=["lang", "source"])
+    kept = line_dedup.drop_repeated_lines(docs, keep=["lang", "source"], by_id=True)
     n_chars = F.length("kept_text").cast("long").alias("n_chars")
     return kept.select("doc_id", F.col("kept_text").alias("text"), "kept.lang", "kept.source", n_chars)
 

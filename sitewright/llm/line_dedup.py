@@ -33,6 +33,18 @@ def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     return each.groupBy("digest").count().filter(F.col("count") >= min_docs).select("digest")
 
 
+def in_distinct_documents(lines: DataFrame, often: DataFrame, min_docs: int) -> DataFrame:
+    """Those of the digests ``often`` that are found under at least ``min_docs`` different doc_id.
+
+    Rows without doc_id are a document each. First distinct pairs of digest and document, then their number, so a digest of
+    many documents is spread.
+    """
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("own")
+    each = lines.select("doc_id", own, F.array_distinct("digests").alias("digests"))
+    pairs = each.select("doc_id", "own", F.explode("digests").alias("digest")).join(often, "digest", "left_semi").distinct()
+    return pairs.groupBy("digest").count().filter(F.col("count") >= min_docs).select("digest")
+
+
 def drop_repeated_lines(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -40,13 +52,15 @@ def drop_repeated_lines(
     min_docs: int = MIN_DOCS,
     min_chars: int = MIN_CHARS,
     keep: Sequence[str] = (),
+    by_id: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, kept_text, n_lines, n_dropped, and the columns in ``keep`` as a struct ``kept``.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys of at least ``min_chars`` code
     points in at least ``min_docs`` documents lose all their lines; the others are joined again in their order.
     A null or empty text is one empty line and gives ''; a text that loses all lines gives '' as well. Every row is a
-    document: repeated rows count and come out each, rows without doc_id too. An empty table gives no rows.
+    document: repeated rows count and come out each, rows without doc_id too. With ``by_id`` rows of one doc_id are one
+    document in the count and still come out each. An empty table gives no rows.
     Further columns are ignored.
 
     Only digests are exploded and shuffled. A document's digests are stored once as an array; the
@@ -57,6 +71,8 @@ def drop_repeated_lines(
     per_line = F.transform(lines_of("text"), lambda line: line_digest(line, min_chars))
     lines = save_stage(keyed.select("doc_id", "text_hash", per_line.alias("digests")), "line-digests")
     repeated = save_stage(repeated_lines(lines, min_docs), "repeated-lines")
+    if by_id:  # no digest has more documents than rows, so only those found often need the exact count
+        repeated = save_stage(in_distinct_documents(lines, repeated, min_docs), "repeated-lines")
     placed = lines.select("doc_id", "text_hash", F.posexplode("digests").alias("place", "digest"))
     gone = (
         placed.join(repeated, "digest", "left_semi")

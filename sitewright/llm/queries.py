@@ -57,7 +57,7 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from marked group by doc_id""",
 )
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    kept = line_dedup.drop_repeated_lines(documents(spark, folder))
+    kept = line_dedup.drop_repeated_lines(documents(spark, folder), by_id=True)
     return kept.select("doc_id", "n_lines", "n_dropped", sha256_hex("kept_text").alias("kept_sha256"))
 
 

@@ -58,6 +58,16 @@ def test_repeated_lines(frame, hard_rows):
         assert Counter((r.doc_id, r.kept_text, r.n_lines, r.n_dropped) for r in got) == brute_lines(rows, min_docs)
 
 
+def test_repeated_ids_are_one_document(frame):
+    rows = [(1, "a\nonce")] * 10 + [(10 + i, "b\nnine") for i in range(9)] + [(30 + i, "Often") for i in range(10)]
+    rows += [(None, "without")] * 10 + [(10, "b\nnine")]
+    got = line_dedup.drop_repeated_lines(frame(rows), by_id=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.n_dropped == (1 if r.kept_text == "" else 0)
+        assert (r.kept_text == "") == (r.doc_id is None or r.doc_id >= 30)
+
+
 def test_empty_tables(frame):
     empty = frame([])
     assert exact_dedup.exact_groups(empty).collect() == []
