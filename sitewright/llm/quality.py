@@ -17,8 +17,9 @@ BITS = 12  # per character
 CLASSES = (1 << BITS) - 2  # characters are counted in this many classes by code point
 PAD, END = 0, 1
 CALIBRATION = 4  # one trusted document in so many is not trained on and sets the thresholds instead
-QUANTILE = 0.995  # of these documents of a language
-MARGIN = 0.02  # nats per character by which a document may exceed its language's quantile
+QUANTILE = 0.98  # of these documents of a language and length class
+MARGIN = 0.02  # nats per character by which a document may exceed its class's quantile
+CLASS_ROWS = 100  # a length class with fewer calibration documents is merged with the next
 STEPS = 1000  # thresholds are exact to 1 / STEPS nats
 SLICE = 1_000_000
 BLOCK_ROWS = 16_000
@@ -200,7 +201,7 @@ def _score_block(key, packs: pa.Table, table: pa.Table) -> pa.Table:
 
     grams, first = np.unique(table.column("gram").to_numpy(), return_index=True)
     logp = table.column("logp").to_numpy()[first]
-    losses = []
+    losses, sizes = [], []
     for packed in packs.column("packed"):
         texts = unpack(packed.as_py())
         total, size = np.zeros(len(texts)), np.zeros(len(texts))
@@ -208,8 +209,9 @@ def _score_block(key, packs: pa.Table, table: pa.Table) -> pa.Table:
             total += np.bincount(owners, logp[np.searchsorted(grams, codes)], minlength=len(texts))
             size += np.bincount(owners, minlength=len(texts))
         losses.append(-total / size)
+        sizes.append(size)
     rows = pc.list_flatten(packs.column("rows"))
-    return pa.table({"row": rows, "loss": pa.array(np.concatenate(losses), pa.float64())})
+    return pa.table({"row": rows, "loss": pa.array(np.concatenate(losses), pa.float64()), "size": pa.array(np.concatenate(sizes).astype(np.int64))})
 
 
 def default_position(doc_id: str, text: str) -> tuple[Column, Column]:
@@ -239,13 +241,15 @@ def score_documents(
     position: tuple[Column, Column] | None = None,
     quantile: float = QUANTILE,
     margin: float = MARGIN,
+    class_rows: int = CLASS_ROWS,
 ) -> DataFrame:
     """One row per document: doc_id, lang, perplexity, threshold, kept.
 
     A character model of order 5 is trained on the whole texts of the documents labelled 1, but for every fourth of them by
-    hash of doc_id. Perplexity is per character (and one end per text). A language's threshold is the ``quantile`` of
-    the loss of those left out, plus ``margin`` nats, so it holds for texts the model has not seen; documents above it
-    are not kept. A language without such documents has no threshold (null) and keeps all;
+    hash of doc_id. Perplexity is per character (and one end per text). Short texts lose more per character, so a threshold
+    holds for a language and a length class: the ``quantile`` of the loss of those left out, plus ``margin`` nats.
+    Lengths are classed by powers of two of their characters and end; going up, a class with fewer than ``class_rows``
+    such documents is merged with the next, and a thin last one with the one before. Documents above the threshold are not kept. A language without such documents has no threshold (null) and keeps all;
     a null lang is a group of its own. Null counts as empty: its only n-gram is the end. Without any trusted text all
     are kept and perplexity is that of equal chances. Repeated rows come out each; an empty table gives no rows;
     further columns are ignored.
@@ -272,11 +276,12 @@ def score_documents(
     rows = base.select("block", F.struct("doc_id", "lang").alias("row"), "text")
     kind = rows.schema["row"].dataType.simpleString()
     packs = rows.mapInArrow(pack_partitions, f"block long, rows array<{kind}>, packed binary")
-    scored = packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, f"row {kind}, loss double")
-    scored = scored.select("row.doc_id", "row.lang", "loss")
+    scored = packs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block, f"row {kind}, loss double, size long")
+    scored = scored.select("row.doc_id", "row.lang", "loss", F.floor(F.log2("size")).cast("int").alias("length"))
     scored = save_stage(scored, "losses")
-    limits = _thresholds(scored.join(checked, "doc_id", "left_semi"), quantile, margin)
-    limited = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["limit_lang"]), "left")  # a row per language
+    limits = _thresholds(scored.join(checked, "doc_id", "left_semi"), quantile, margin, class_rows)
+    within = (F.col("length") >= F.col("low")) & (F.col("length") < F.col("high"))
+    limited = scored.join(F.broadcast(limits), scored["lang"].eqNullSafe(limits["limit_lang"]) & within, "left")  # a row per class
     return limited.select(
         "doc_id",
         scored["lang"],
@@ -286,10 +291,33 @@ def score_documents(
     )
 
 
-def _thresholds(trusted: DataFrame, quantile: float, margin: float) -> DataFrame:
-    """(limit_lang, limit) from counts of losses rounded up to 1 / STEPS: the same in every run, in bounded memory."""
-    steps = trusted.groupBy("lang", F.ceil(F.col("loss") * STEPS).alias("step")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("n").over(Window.partitionBy("lang"))
+def length_classes(counts: dict[int, int], least: int) -> list[tuple[int, int]]:
+    """Ranges [low, high) of lengths that hold ``least`` rows each, if there are so many, and all lengths together."""
+    starts, n = [0], 0
+    for length in sorted(counts):
+        if n >= least:
+            starts.append(length)
+            n = 0
+        n += counts[length]
+    if n < least and len(starts) > 1:
+        starts.pop()
+    return list(zip(starts, [*starts[1:], 64], strict=True))
+
+
+def _thresholds(trusted: DataFrame, quantile: float, margin: float, class_rows: int) -> DataFrame:
+    """(limit_lang, low, high, limit) from counts of losses rounded up to 1 / STEPS: the same in every run, in bounded memory."""
+    step = F.ceil(F.col("loss") * STEPS).alias("step")
+    steps = save_stage(trusted.groupBy("lang", "length", step).agg(F.count("*").alias("n")), "loss-steps")
+    counts: dict = {}
+    for r in steps.groupBy("lang", "length").agg(F.sum("n")).collect():  # a few dozen rows per language
+        counts.setdefault(r[0], {})[r[1]] = r[2]
+    ranges = [(lang, *x) for lang, sizes in counts.items() for x in length_classes(sizes, class_rows)]
+    kind = f"limit_lang {trusted.schema['lang'].dataType.simpleString()}, low int, high int"
+    classes = F.broadcast(trusted.sparkSession.createDataFrame(ranges, kind))
+    own = steps["lang"].eqNullSafe(classes["limit_lang"]) & (F.col("length") >= F.col("low")) & (F.col("length") < F.col("high"))
+    group = ["limit_lang", "low", "high"]
+    steps = steps.join(classes, own).groupBy(*group, "step").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy(*group))
     reached = steps.withColumn("upto", upto).withColumn("total", total).filter(F.col("upto") >= F.col("total") * quantile)
-    return reached.groupBy(F.col("lang").alias("limit_lang")).agg((F.min("step") / STEPS + margin).alias("limit"))
+    return reached.groupBy(*group).agg((F.min("step") / STEPS + margin).alias("limit"))

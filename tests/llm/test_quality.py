@@ -82,6 +82,20 @@ def test_probabilities_sum_to_one(scored):
     assert abs(sum(model.p((*context, w)) for w in range(1, CLASSES + 2)) - 1) < 1e-6
 
 
+def test_length_classes():
+    assert quality.length_classes({}, 5) == [(0, 64)]
+    assert quality.length_classes({3: 4}, 5) == [(0, 64)]
+    assert quality.length_classes({1: 5, 4: 2, 7: 3, 9: 6}, 5) == [(0, 4), (4, 9), (9, 64)]
+    assert quality.length_classes({1: 5, 4: 9, 9: 2}, 5) == [(0, 4), (4, 64)]
+
+
+def test_long_texts_are_not_measured_by_short_ones(spark):
+    losses = [("a", 2, 3.0 + i / 100) for i in range(10)] + [("a", 9, 1.0 + i / 100) for i in range(10)] + [(None, 9, 2.0)]
+    frame = spark.createDataFrame(losses, "lang string, length int, loss double")
+    found = {(r.limit_lang, r.low, r.high): round(r.limit, 3) for r in quality._thresholds(frame, 1.0, 0.0, 10).collect()}
+    assert found == {("a", 0, 9): 3.09, ("a", 9, 64): 1.09, (None, 0, 64): 2.0}
+
+
 def test_without_trust_or_rows(spark, frame):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.score_documents(frame([(1, "a b"), (2, None)]), labels).collect()
