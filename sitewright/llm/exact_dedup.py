@@ -23,9 +23,11 @@ def heavy_winners(hashed: DataFrame, support: float = SUPPORT) -> DataFrame:
 
     ``freqItems`` is a Misra-Gries summary: it keeps at most ``1 / support`` counters per partition and in all and
     misses no digest above that share. The candidates are then counted exactly, so at most ``1 / support``
-    rows come out, whatever the data.
+    rows come out, whatever the data. It is given strings: it compares byte arrays by identity and would never count.
     """
-    found = hashed.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
+    named = hashed.select(F.hex("digest").alias("digest"))
+    found = named.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("name"))
+    found = found.select(F.unhex("name").alias("digest"))
     total = hashed.agg(F.count("*").alias("total"))
     counted = hashed.join(F.broadcast(found.distinct()), "digest").groupBy("digest").agg(*_group())
     verified = counted.join(F.broadcast(total), F.col("group_size") >= F.col("total") * support)

@@ -3,6 +3,8 @@
 import hashlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from sitewright.llm import exact_dedup, line_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -35,6 +37,16 @@ def test_heavy_digests_are_found_and_verified(frame):
     assert exact_dedup.heavy_winners(hashed, 0.4).count() == 0
 
 
+def test_heavy_digests_among_many_others(spark):
+    for parts in (1, 5):
+        rows = spark.range(0, 20_000, 1, parts)
+        name = F.when(F.col("id") % 10 == 0, "hot").when(F.col("id") % 70 == 1, "warm").otherwise(F.concat(F.lit("cold "), "id"))
+        hashed = rows.select(F.col("id").alias("doc_id"), F.unhex(F.sha2(name, 256)).alias("digest"), F.col("id").alias("row"))
+        sizes = sorted(r.group_size for r in exact_dedup.heavy_winners(hashed, 0.01).collect())
+        want = sorted(n for n in Counter("hot" if i % 10 == 0 else "warm" if i % 70 == 1 else "" for i in range(20_000)).items() if n[0])
+        assert sizes == sorted(n for _, n in want)
+
+
 def test_main_path_is_native(frame, hard_rows):
     plan = exact_dedup.exact_groups(frame(hard_rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
