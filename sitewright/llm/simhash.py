@@ -6,32 +6,25 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.llm.components import connected_components
 from sitewright.llm.texts import narrow, whole, with_row_number
+from sitewright.operators.joins import lookup
 from sitewright.sources.tables import save_stage
 
 BITS = 64
 SHINGLE = 3
 DISTANCE = 3
 BLOCKS = 5  # pairs at distance d share BLOCKS - d blocks; more blocks make smaller buckets and more keys
-# Copies with a five-word similarity of 0.8 differ in about 10 of 64 bits if the fingerprint is made of words in fives, too
-# many for blocks. Distinct pairs of words lose less by an edit: most such copies differ in 8 bits or fewer.
-NEAR_SHINGLE, NEAR_DISTANCE, NEAR_BLOCKS = 2, 8, 11
 CELL = 4096  # fingerprints of one bucket that are compared at a time
-SIMILAR_SHINGLE, SIMILARITY = 5, 0.8  # near duplicates share so much of their distinct five-word shingles (Jaccard)
-CHUNK_TEXTS, CHUNK_WORDS = 1024, 1 << 20  # of one fingerprint class, so many are compared with as many at a time
+SALTS = 64  # tasks that share a fingerprint or class with very many rows
 SEED = 42
 
 
-def fingerprint(text: bytes, shingle: int, distinct: bool = False) -> int:
-    """Signed 64-bit SimHash; a bit is set if more than half of the shingle hashes have it.
-
-    With ``distinct`` a repeated shingle counts once, so that texts of one language do not come close to each other by
-    their frequent words alone.
-    """
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Signed 64-bit SimHash; a bit is set if more than half of the shingle hashes, repeats included, have it."""
     import numpy as np
     import xxhash
 
@@ -45,7 +38,7 @@ def fingerprint(text: bytes, shingle: int, distinct: bool = False) -> int:
     starts = (ends - lengths)[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_digest
     parts = [joined[s:e] for s, e in zip(starts, ends[k - 1 :].tolist(), strict=True)]
-    hashes = [digest(part, SEED) for part in (set(parts) if distinct else parts)]
+    hashes = [digest(part, SEED) for part in parts]
     counts = np.zeros(BITS, np.int64)
     for i in range(0, len(hashes), 1 << 15):  # a long text is unpacked in parts
         part = hashes[i : i + (1 << 15)]
@@ -54,114 +47,17 @@ def fingerprint(text: bytes, shingle: int, distinct: bool = False) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big", signed=True)
 
 
-def fingerprint_partitions(shingle: int, distinct: bool):
+def fingerprint_partitions(shingle: int):
     """Worker function: (key, text as bytes) -> key, fp."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [fingerprint(text.as_py() or b"", shingle, distinct) for text in batch.column(1)]
+            marks = [fingerprint(text.as_py() or b"", shingle) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64())], names=["key", "fp"])
 
     return run
 
 
-def worded_partitions(shingle: int, distinct: bool):
-    """Worker function: (key, text as bytes) -> key, fp, words (128 bits of the sequence of words), n_words."""
-    mark = fingerprint_partitions(shingle, distinct)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            marked = next(mark(iter([batch])))
-            digests, counts = [], []
-            for text in batch.column(1):
-                words = (text.as_py() or b"").lower().split()
-                digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                counts.append(len(words))
-            columns = [*marked.columns, pa.array(digests, pa.binary()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "fp", "words", "n_words"])
-
-    return run
-
-
-def shingle_hashes(text: bytes, shingle: int = SIMILAR_SHINGLE) -> bytes:
-    """Sorted 64-bit hashes of the distinct shingles; a text with fewer words has one shingle, an empty one none."""
-    import numpy as np
-    import xxhash
-
-    words = text.lower().split()
-    k = min(shingle, len(words))
-    parts = {b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in parts), np.uint64, len(parts))).tobytes()
-
-
-def shingle_partitions(shingle: int):
-    """Worker function: (class, id, chunks, text as bytes) -> class, id, chunks, shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = pa.array([shingle_hashes(text.as_py() or b"", shingle) for text in batch.column(3)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["class", "id", "chunks", "shingles"])
-
-    return run
-
-
-def similar_partitions(similarity: float):
-    """Worker function: (cell, id, shingles) sorted by cell -> links (a, b) that connect what is similar inside each cell.
-
-    Similar are two texts whose shingles have a Jaccard similarity of ``similarity`` or more, by exact counts. A cell
-    is searched breadth first over all its pairs, as in ``link_partitions``, so no path of similar pairs is missed and
-    a cell of n texts yields at most n - 1 links. A text is compared by the cell's index of shingles.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        def links(texts: dict[int, bytes]):
-            ids = np.fromiter(texts, np.int64, len(texts))
-            sets = [np.frombuffer(x, np.uint64) for x in texts.values()]
-            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            known, number = np.unique(np.concatenate(sets), return_inverse=True)
-            holders = np.repeat(np.arange(len(sets)), sizes)[np.argsort(number, kind="stable")]
-            often = np.bincount(number, minlength=len(known))
-            begins = np.cumsum(often) - often
-            ends = np.cumsum(sizes)
-            left = sizes > 0  # a text without shingles is like none but its equals, which are one id
-            first: list = []
-            second: list = []
-            for start in range(len(ids)):
-                reached = [start] if left[start] else []
-                left[start] = False
-                while reached and left.any():
-                    x = reached.pop()
-                    own = number[ends[x] - sizes[x] : ends[x]]
-                    n = often[own]
-                    at = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    shared = np.bincount(holders[at], minlength=len(ids))
-                    near = left & (shared >= similarity * (sizes + sizes[x] - shared) - 1e-9)
-                    found = np.flatnonzero(near)
-                    left[found] = False
-                    first.extend([ids[x]] * len(found))
-                    second.extend(ids[found])
-                    reached.extend(found.tolist())
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
-
-        cell, texts = None, {}
-        for batch in batches:
-            for own, id_, shingles in zip(*(batch.column(i) for i in range(3)), strict=True):
-                if own.as_py() != cell:
-                    if len(texts) > 1:
-                        yield from links(texts)
-                    cell, texts = own.as_py(), {}
-                texts[id_.as_py()] = shingles.as_py()
-        if len(texts) > 1:
-            yield from links(texts)
-
-    return run
-
-
 def block_masks(distance: int, blocks: int) -> list[int]:
     """Bit masks of every choice of ``blocks - distance`` blocks.
 
@@ -249,60 +145,21 @@ def fingerprint_links(marks: DataFrame, distance: int = DISTANCE, blocks: int =
     return dealt.mapInArrow(link_partitions(distance), "a long, b long")
 
 
-def _classes(marked: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """(fp, component_id, members) of every fingerprint in ``marked`` (key.doc_id, fp)."""
-    distinct = save_stage(
-        marked.groupBy("fp").agg(F.min("key.doc_id").alias("first_id"), F.count("*").alias("members")), "fingerprints"
-    )
-    roots = connected_components(fingerprint_links(distinct.select("fp"), distance, blocks), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    rooted = save_stage(rooted, "rooted")
-    whole_class = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.sum("members").alias("members"))
-    return rooted.select("fp", "root").join(whole_class, "root")
-
-
-def _marked(docs: DataFrame, shingle: int, distinct: bool = False, words: bool = False) -> DataFrame:
-    """(key, fp) with the fingerprint of each row's text, and words and n_words if asked; ``docs`` has doc_id and text."""
-    key = F.struct("doc_id", F.xxhash64(whole("text")).alias("text_hash")).alias("key")
-    rows = docs.select(key, F.col("text").cast("binary").alias("text"))
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, doc_id, text_hash, fp): the fingerprint of each row's text; ``docs`` has doc_id and text."""
+    key = F.struct("row", "doc_id", F.xxhash64(whole("text")).alias("text_hash")).alias("key")
+    rows = with_row_number(docs, "row").select(key, F.col("text").cast("binary").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    if words:
-        marks = rows.mapInArrow(worded_partitions(shingle, distinct), f"key {kind}, fp long, words binary, n_words long")
-    else:
-        marks = rows.mapInArrow(fingerprint_partitions(shingle, distinct), f"key {kind}, fp long")
-    return save_stage(marks, "marks")
-
-
-def similar_links(
-    texts: DataFrame,
-    found: DataFrame,
-    similarity: float,
-    shingle: int = SIMILAR_SHINGLE,
-    chunk_texts: int = CHUNK_TEXTS,
-    chunk_words: int = CHUNK_WORDS,
-) -> DataFrame:
-    """Links (a, b) between ids whose components are those of all similar pairs within a class.
+    marks = rows.mapInArrow(fingerprint_partitions(shingle), f"key {kind}, fp long")
+    return save_stage(marks.select("key.*", "fp"), "marks")
 
-    ``texts`` has doc_id and text; ``found`` has class, id, key and n_words, one row per distinct sequence of words. Only
-    texts of classes with several of them are read. A large class is cut into chunks, each pair of chunks is a cell.
-    """
-    count = F.greatest(F.ceil(F.count("*") / F.lit(chunk_texts)), F.ceil(F.sum("n_words") / F.lit(chunk_words)))
-    several = found.groupBy("class").agg(count.alias("chunks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    asked = found.join(several, "class").select(
-        "class", "id", "chunks", F.col("key.doc_id").alias("v_id"), F.col("key.text_hash").alias("v_hash")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.xxhash64(whole("text")) == F.col("v_hash"))
-    read = texts.join(asked, same).select("class", "id", "chunks", F.col("text").cast("binary").alias("text"))
-    hashed = read.mapInArrow(shingle_partitions(shingle), "class long, id long, chunks long, shingles binary")
-    cells = (
-        hashed.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select(F.xxhash64("class", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "shingles")
-    )
-    dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(similar_partitions(similarity), "a long, b long")
+
+def _rooted(marked: DataFrame, first: Column, distance: int, blocks: int) -> DataFrame:
+    """(fp, first, root) of every fingerprint, ``first`` being the smallest value among its rows."""
+    distinct = save_stage(marked.groupBy("fp").agg(F.min(first).alias("first")), "fingerprints")
+    roots = connected_components(fingerprint_links(distinct.select("fp"), distance, blocks), "a", "b")
+    joined = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    return save_stage(joined.withColumn("root", F.coalesce("root", "fp")), "rooted")
 
 
 def near_duplicate_classes(
@@ -322,51 +179,42 @@ def near_duplicate_classes(
     table gives no rows; further columns are ignored.
     """
     marked = _marked(narrow(docs, doc_id=doc_id, text=text), shingle)
-    classes = _classes(marked, distance, blocks)
-    return marked.join(classes, "fp").select(
-        F.col("key.doc_id").alias("doc_id"),
-        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        "component_id",
-    )
+    rooted = _rooted(marked, F.col("doc_id"), distance, blocks)
+    classes = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = lookup(rooted.select("fp", "root"), classes, "root", ["fp"], how="inner", salts=SALTS)
+    found = lookup(marked, named.select("fp", "component_id"), "fp", ["row"], how="inner", salts=SALTS)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one_per_class(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
-    shingle: int = NEAR_SHINGLE,
-    distance: int = NEAR_DISTANCE,
-    blocks: int = NEAR_BLOCKS,
-    distinct: bool = True,
-    similarity: float = SIMILARITY,
+    shingle: int = SHINGLE,
+    distance: int = DISTANCE,
+    blocks: int = BLOCKS,
 ) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each class the row with the smallest doc_id stays.
+    """The rows of ``docs`` without near duplicates: of each class of linked fingerprints the row with the smallest doc_id stays.
 
-    Two texts are linked if their distinct five-word shingles have a Jaccard similarity of ``similarity`` or more, counted
-    exactly; classes are what links connect. Texts with the same words are equal, texts of under five words and empty
-    ones are like their equals only. Fingerprints are the search alone: texts are compared if a chain
-    of fingerprints within ``distance`` connects them. Rows without doc_id stay only if no row of the class has one;
-    of identical rows one stays. All columns are kept.
+    Classes are those of ``near_duplicate_classes``, so all empty and null texts are one class. Rows without doc_id stay
+    only if no row of the class has one (then the one with the smallest text hash); of identical rows one stays. All
+    columns are kept. An empty table gives no rows.
     """
-    texts = narrow(docs, doc_id=doc_id, text=text)
-    marked = _marked(texts, shingle, distinct, words=True)
-    groups = _classes(marked, distance, blocks).filter("members > 1").select("fp", F.col("root").alias("class"))
-    found = marked.join(groups, "fp").groupBy("class", "words").agg(F.min("key").alias("key"), F.max("n_words").alias("n_words"))
-    found = save_stage(with_row_number(found, "id"), "found")
-    roots = connected_components(similar_links(texts, found, similarity), "a", "b")
-    rooted = found.join(roots, found["id"] == roots["node"], "left").select("words", F.coalesce("root", "id").alias("root"))
-    members = marked.join(rooted, "words").select("root", "key", F.col("key.doc_id").isNull().alias("without"))
-    first = members.groupBy("root").agg(F.min(F.struct("without", "key")).alias("first"))
-    verdict = (
-        members.join(first, "root")
-        .select(F.col("key.doc_id").alias("v_id"), F.col("key.text_hash").alias("v_hash"), F.col("key").eqNullSafe(F.col("first.key")).alias("stays"))
-        .distinct()
-    )
-    verdict = save_stage(verdict, "verdict")
+    marked = _marked(narrow(docs, doc_id=doc_id, text=text), shingle)
+    rank = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "text_hash")
+    first = _rooted(marked, rank, distance, blocks).groupBy("root").agg(F.min("first").alias("first"))
+    winners = first.select(F.col("first.doc_id").alias("v_id"), F.col("first.text_hash").alias("v_hash"))
+    winners = save_stage(winners, "winners")
     row = docs.select(F.struct(*docs.columns).alias("row"))
     own_id, own_hash = F.col(f"row.{doc_id}"), F.xxhash64(whole(F.col(f"row.{text}")))
     same = own_id.eqNullSafe(F.col("v_id")) & (own_hash == F.col("v_hash"))
-    alone = row.join(verdict, same, "left_anti")
+    repeated = marked.groupBy(F.col("doc_id").alias("v_id"), F.col("text_hash").alias("v_hash")).count().filter("count > 1")
+    repeated = save_stage(repeated.drop("count"), "repeated")
+    if repeated.isEmpty():
+        return row.join(winners, same, "left_semi").select("row.*")
+    again = F.col("v_id").eqNullSafe(F.col("r_id")) & (F.col("v_hash") == F.col("r_hash"))
+    repeated = repeated.toDF("r_id", "r_hash")
+    alone = row.join(winners.join(repeated, again, "left_anti"), same, "left_semi")
     number = F.row_number().over(Window.partitionBy("v_id", "v_hash").orderBy(F.xxhash64("row")))
-    chosen = row.join(verdict.filter("stays"), same).withColumn("number", number).filter("number = 1")
-    return alone.unionByName(chosen.select("row")).select("row.*")
+    several = row.join(winners.join(repeated, again, "left_semi"), same).withColumn("number", number).filter("number = 1")
+    return alone.unionByName(several.select("row")).select("row.*")
