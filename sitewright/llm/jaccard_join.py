@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.llm.components import connected_components
-from sitewright.llm.texts import narrow, with_row_number
+from sitewright.llm.texts import narrow, whole, with_row_number
 from sitewright.operators.joins import lookup
 from sitewright.sources.tables import save_stage
 
@@ -114,30 +114,38 @@ def signatures(values, lows: list[int], similarity: tuple[int, int] = SIMILARITY
     return np.concatenate(keys).view(np.int64)
 
 
-def set_partitions(shingle: int, similarity: tuple[int, int]):
-    """Worker function: (row, text as bytes) -> row, n, digest, keys, shingles. Empty sets have no digest and no keys."""
+def signature_partitions(shingle: int, similarity: tuple[int, int]):
+    """Worker function: (row, text as bytes) -> row, n, digest, keys of the text's set. Empty sets have no digest and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         hashes, lows = WordHashes(), size_classes(1 << 40, similarity)
         for batch in batches:
-            sizes, digests, keys, packed = [], [], [], []
+            sizes, digests, keys = [], [], []
             for text in batch.column(1):
                 values = shingle_set(text.as_py() or b"", shingle, hashes)
-                content = values.tobytes()
                 sizes.append(len(values))
-                digests.append(xxhash.xxh3_128_hexdigest(content) if content else None)
-                keys.append(signatures(values, lows, similarity) if content else [])
-                packed.append(content)
+                digests.append(xxhash.xxh3_128_hexdigest(values.tobytes()) if len(values) else None)
+                keys.append(signatures(values, lows, similarity) if len(values) else [])
             columns = [
-                batch.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(digests, pa.string()),
-                pa.array(keys, pa.list_(pa.int64())),
-                pa.array(packed, pa.binary()),
+                batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(keys, pa.list_(pa.int64()))
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "digest", "keys", "shingles"])
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n", "digest", "keys"])
+
+    return run
+
+
+def set_partitions(shingle: int):
+    """Worker function: (region, row, text as bytes) -> region, row, n, shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(text.as_py() or b"", shingle, hashes).tobytes() for text in batch.column(2)]
+            sizes = pa.array([len(x) // 8 for x in sets], pa.int64())
+            columns = [batch.column(0), batch.column(1), sizes, pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["region", "row", "n", "shingles"])
 
     return run
 
@@ -438,23 +446,31 @@ def similar_documents(
     by equal parts of signatures, of which linked sets must share one. Only points that are not alone there go on; inside a region, distances are graded, and it
     is joined by pivots, Voronoi regions and windows.
     """
-    texts = with_row_number(narrow(docs, doc_id=doc_id, text=text), "row")
-    texts = texts.select(F.struct("row", "doc_id").alias("row"), F.col("text").cast("binary").alias("text"))
-    kind = texts.schema["row"].dataType.simpleString()
-    made = texts.mapInArrow(
-        set_partitions(shingle, similarity), f"row {kind}, n long, digest string, keys array<bigint>, shingles binary"
+    texts = narrow(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64(whole("text")))
+    numbered = with_row_number(texts, "row").select(
+        F.struct("row", "doc_id", "text_hash").alias("row"), F.col("text").cast("binary").alias("text")
     )
-    marked = save_stage(made.select("row.row", "row.doc_id", "n", "digest", "keys", "shingles"), "sets")
-    points = save_stage(
-        marked.filter("digest is not null").groupBy("digest").agg(F.min("row").alias("row"), F.min("doc_id").alias("first_id")),
-        "points",
+    kind = numbered.schema["row"].dataType.simpleString()
+    made = numbered.mapInArrow(
+        signature_partitions(shingle, similarity), f"row {kind}, n long, digest string, keys array<bigint>"
     )
+    marked = save_stage(made.select("row.*", "n", "digest", "keys"), "marked")
+    chosen = F.min(F.struct("row", "doc_id", "text_hash")).alias("chosen")
+    points = marked.filter("digest is not null").groupBy("digest").agg(chosen, F.min("doc_id").alias("first_id"))
+    points = save_stage(points.withColumn("row", F.col("chosen.row")), "points")
     keyed = marked.select("row", "keys").join(points.select("row"), "row", "left_semi")
     shuffled = keyed.mapInArrow(combined_partitions, "key long, row long").repartition("key").sortWithinPartitions("key", "row")
     meetings = shuffled.mapInArrow(meeting_partitions, "a long, b long")
-    regions = connected_components(meetings, "a", "b")
-    members = marked.select("row", "n", "shingles").join(
-        regions.select(F.col("node").alias("row"), F.col("root").alias("region")), "row"
+    regions = connected_components(meetings, "a", "b").withColumnsRenamed({"node": "row", "root": "region"})
+    asked = points.join(regions, "row").select(
+        "region", "row", F.col("chosen.doc_id").alias("v_id"), F.col("chosen.text_hash").alias("v_hash")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("text_hash") == F.col("v_hash"))
+    read = texts.join(save_stage(asked, "asked"), same).groupBy("row").agg(  # identical rows are one
+        F.first("region").alias("region"), F.first("text").cast("binary").alias("text")
+    )
+    members = read.select("region", "row", "text").mapInArrow(
+        set_partitions(shingle), "region long, row long, n long, shingles binary"
     )
     links = region_links(save_stage(members, "members"), similarity)
     roots = connected_components(links, "a", "b")
