@@ -25,7 +25,7 @@ from pyspark.ml.feature import (
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitewright.functions.words import WORD_GAP, tokens
@@ -54,6 +54,21 @@ class Vocabulary:
         terms = sorted(top[1:], key=lambda row: row["term"])
         return cls([r["term"] for r in terms], [r["df"] for r in terms], top[0]["df"])
 
+    @classmethod
+    def fit_groups(cls, df: DataFrame, group: str, text: str, max_terms: int) -> dict[str, Vocabulary]:
+        """The vocabulary of every value of ``group`` from one aggregate over (group, term)."""
+        words = F.concat(tokens(F.col(text)), F.array(F.lit("")))
+        named = F.transform(words, lambda w: F.struct(F.col(group).alias("group"), w.alias("word")))
+        counts = term_counts(df, named).select("term.group", F.col("term.word").alias("term"), "tf", "df")
+        order = Window.partitionBy("group").orderBy((F.col("term") == "").desc(), F.desc("tf"), "term")
+        top = counts.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max_terms + 1)
+        found: dict[str, list] = {}
+        for row in top.orderBy("group", "term").collect():
+            found.setdefault(row["group"], []).append(row)
+        return {
+            name: cls([r["term"] for r in rows[1:]], [r["df"] for r in rows[1:]], rows[0]["df"]) for name, rows in found.items()
+        }
+
     def smooth_idf(self) -> list[float]:
         return [math.log((1 + self.docs) / (1 + count)) + 1.0 for count in self.doc_counts]
 
@@ -111,10 +126,11 @@ def split_then_bag_of_words(
 
 
 def long_form(df: DataFrame, keys: Sequence[str], vector: str, terms: list[str], value: str = "weight") -> DataFrame:
-    """One row per key and term with a weight above 0."""
-    listed = df.select(*keys, F.posexplode(vector_to_array(vector)).alias("_place", value)).filter(F.col(value) != 0)
+    """One row per key and term with a weight that is not 0; zeros leave inside the array, so they never become rows."""
     names = F.array(*[F.lit(t) for t in terms])
-    return listed.select(*keys, F.element_at(names, F.col("_place") + 1).alias("term"), value)
+    named = F.zip_with(names, vector_to_array(vector), lambda t, w: F.struct(t.alias("term"), w.alias(value)))
+    present = F.filter(named, lambda x: x[value] != 0)
+    return df.select(*keys, F.explode(present).alias("_present")).select(*keys, "_present.term", f"_present.{value}")
 
 
 def text_sets(
@@ -224,13 +240,14 @@ def fit_features(
     embedding: dict | None = None,
     extra: Sequence[str] = (),
     output: str = "features",
+    vocabulary: Vocabulary | None = None,
 ) -> FeatureSet:
     """TF-IDF, optional language flag, document embedding and numeric columns in one vector.
 
     ``embedding`` holds the arguments of ``train_word_vectors``; the document vector is the mean of its word
     vectors. All parts are computed on the same row, so nothing is joined by position or key.
     """
-    vocabulary = Vocabulary.fit(df, text, max_terms)
+    vocabulary = vocabulary or Vocabulary.fit(df, text, max_terms)
     stages = tfidf_stages(vocabulary, text)
     parts, names = ["tfidf"], list(vocabulary.terms)
     if extra:

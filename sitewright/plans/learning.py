@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitewright.functions import words
-from sitewright.operators import aggregates, features, models, sampling
+from sitewright.operators import aggregates, features, forests, many_models, models, sampling
 from sitewright.operators.language import LanguageProfile
-from sitewright.plans import inputs
+from sitewright.operators.texts import build_revisions
+from sitewright.plans import experiments, inputs
 from sitewright.plans import sqltext as q
 from sitewright.plans.inputs import LANGUAGES, SEED
 from sitewright.plans.registry import query
 from sitewright.plans.scoring import score_pages, score_url_table
+from sitewright.plans.texts import REVISIONS
 from sitewright.session import new_table_path
 from sitewright.sources.tables import read_parquet, read_spread, save_stage, write_table
 
@@ -222,8 +224,18 @@ ROWS_PER_PART = 20_000  # an optimizer step is a job; parts of this size keep it
 _SHARED: dict[tuple, object] = {}
 
 
+def _file_state(spark: SparkSession, folder: str) -> tuple:
+    """Number, sizes and times of the files behind the tables that fits read: other files, other fits."""
+    files = [
+        read_parquet(spark, folder, table).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        for table in ("documents", "labels")
+    ]
+    found = files[0].unionByName(files[1]).distinct()
+    return tuple(found.agg(F.count("*"), F.sum(F.xxhash64(*found.columns).cast("decimal(38,0)"))).first())
+
+
 def _shared(spark: SparkSession, folder: str, name: str, make):
-    key = (spark.sparkContext.applicationId, folder, name)
+    key = (spark.sparkContext.applicationId, folder, name, _file_state(spark, folder))
     if key not in _SHARED:
         _SHARED[key] = make()
     return _SHARED[key]
@@ -267,9 +279,11 @@ def m1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("m2_random_forest")
 def m2(spark: SparkSession, folder: str) -> DataFrame:
-    train, test, _, size = _plain_sets(spark, folder)
-    fitted = models.train_model(models.random_forest(size, trees=300, depth=15, min_rows=4), train, test)
-    return fitted.test.select("key", "label", "proba", "prediction")
+    """300 trees of 2,000 draws each, 15 deep at most, nodes of under 8 draws not split."""
+    train, test, _, _ = _plain_sets(spark, folder)
+    settings = forests.TreeSettings(depth=15, min_split=8)
+    fitted = forests.fit_forest(train, "key", trees=300, sample=2000, settings=settings, seed=SEED)
+    return fitted.transform(test).select("key", "label", "proba", "prediction")
 
 
 @query(
@@ -324,6 +338,13 @@ def m5(spark: SparkSession, folder: str) -> DataFrame:
     return models.grid_table(models.cross_validate(models.logistic_l1(size), everything, "key", folds=5))
 
 
+@query("m6_logistic_search")
+def m6(spark: SparkSession, folder: str) -> DataFrame:
+    """All 49 points in ten folds: 490 fits made together."""
+    train, test, _, _ = _plain_sets(spark, folder)
+    return many_models.search_logistic(train.unionByName(test), "key", folds=10, seed=SEED)
+
+
 def _saved_scorer(spark: SparkSession, folder: str) -> tuple[str, features.FeatureSet, object]:
     """One saved scorer per session and folder."""
     _, _, fitted, _ = _balanced_sets(spark, folder)
@@ -366,6 +387,29 @@ def m10(spark: SparkSession, folder: str) -> DataFrame:
     return models.coefficient_table(classifier, fitted, size=20)
 
 
+@query("m11_repeated_splits")
+def m11(spark: SparkSession, folder: str) -> DataFrame:
+    """Interval of the test accuracy over 100 splits: 100 fits made together."""
+    train, test, _, _ = _plain_sets(spark, folder)
+    return experiments.repeated_accuracy(train.unionByName(test), "key")
+
+
+@query("m12_embedding_curve")
+def m12(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean test accuracy of five fits for each of six shares of the documents with word vectors of 200 numbers."""
+    embedding = {"size": 200, "epochs": 5, "window": 3, "min_count": 2}
+    return experiments.embedding_size_curve(_documents(spark, folder), "key", "text", 400, embedding)
+
+
+@query("m13_revision_sensitivity")
+def m13(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean scores of ten fits for each text revision, with document embeddings."""
+    documents = read_spread(spark, folder, "documents", "doc_id")
+    labels = read_parquet(spark, folder, "labels").select(F.col("doc_id").alias("key"), F.col("quality").alias("label"))
+    made = build_revisions(documents, "doc_id", "text", "lang", LANGUAGES, REVISIONS).withColumnRenamed("doc_id", "key")
+    return experiments.revision_sensitivity(made.join(labels, "key"), "key", "text", TERMS, EMBEDDING)
+
+
 def _with_zip(spark: SparkSession, folder: str) -> DataFrame:
     base = inputs.labelled(spark, folder).select(F.col("doc_id").alias("key"), "text", "lang", "label")
     zips = inputs.companies(spark, folder).select(

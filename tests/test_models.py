@@ -158,6 +158,15 @@ def test_experiments_on_small_settings(spark, documents):
     assert {r.revision for r in experiments.revision_sensitivity(revisions, "key", "text", 8, seeds=(1,)).collect()} == {"A", "B"}
 
 
+def test_vocabularies_of_groups_are_those_of_single_fits(spark):
+    rows = [("A", "zz cc yy bb cc"), ("A", "bb"), ("B", "yy yy zz"), ("B", ""), ("C", "?!")]
+    df = spark.createDataFrame(rows, "revision string, text string")
+    both = features.Vocabulary.fit_groups(df, "revision", "text", 2)
+    assert set(both) == {"A", "B", "C"}
+    for name, vocabulary in both.items():
+        assert vocabulary == features.Vocabulary.fit(df.filter(F.col("revision") == name), "text", 2)
+
+
 def test_depth_beyond_the_learner_is_refused():
     with pytest.raises(ValueError, match="deep"):
         models.random_forest(100, depth=100)

@@ -71,6 +71,19 @@ def test_forest_and_folds(spark):
     assert len(folds) == 1 and 0 <= folds[0].mean_accuracy <= 1
 
 
+def test_searches_and_repeated_fits(spark):
+    points = JOBS["m6_logistic_search"](spark, FOLDER).collect()
+    assert {r.point for r in points} == set(range(49)) and len({(r.c, r.l1_share) for r in points}) == 49
+    assert all(0 <= r.mean_accuracy <= 1 for r in points)
+    (interval,) = JOBS["m11_repeated_splits"](spark, FOLDER).collect()
+    assert 90 <= interval.n <= 100 and interval.min <= interval["mean"] <= interval.max
+    assert interval.lower <= interval.se_lower <= interval["mean"]
+    curve = JOBS["m12_embedding_curve"](spark, FOLDER).collect()
+    assert sorted(column(curve, "fraction")) == [0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+    revisions = JOBS["m13_revision_sensitivity"](spark, FOLDER).collect()
+    assert len(revisions) == 4 and all(0 <= r.mean_macro_f1 <= 1 and 0 <= r.mean_accuracy <= 1 for r in revisions)
+
+
 def test_loaded_scorer_predicts_the_same(spark):
     rows = JOBS["m8_save_and_load"](spark, FOLDER).collect()
     assert rows and all(r.equal for r in rows)
