@@ -18,7 +18,8 @@ from sitewright.sources.tables import save_stage
 ROW_BYTES = 16
 OLD_SHARDS = 32
 SHARDS = 40
-BLOCK_BYTES = 8 << 20  # text bytes of a block, the unit in which files are kept or rewritten
+BLOCKS = 64  # blocks of a shard at least; a block is the unit in which files are kept or rewritten
+BLOCK_BYTES = 128 << 20  # text bytes of a block at most, as a task writes whole blocks
 REFINEMENTS = 3
 
 
@@ -109,27 +110,33 @@ class Layout:
 
 
 def write_layout(
-    docs: DataFrame, shards: int, block_bytes: int = BLOCK_BYTES, key: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    shards: int,
+    blocks: int = BLOCKS,
+    block_bytes: int = BLOCK_BYTES,
+    key: str = "doc_id",
+    text: str = "text",
 ) -> Layout:
     """Write ``docs`` as shard folders with block folders, by hash of the key.
 
-    Rows are packed into ``row`` next to the operator's own columns, so no name clashes. ``place`` orders and
-    identifies the rows of a block for good.
+    Rows are packed into ``row`` next to the operator's own columns, so no name clashes. ``place`` identifies the rows of
+    a block for good; within a block places follow each other without gaps. Rows that share a key are spread over blocks by their
+    text; copies of one row share a block.
     """
     spark = docs.sparkSession
     packed = docs.select(F.struct(*docs.columns).alias("row"))
     own_key, own_text = F.col(f"row.{key}"), F.col(f"row.{text}")
     total = docs.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
-    blocks = max(1, math.ceil(total / shards / block_bytes))
+    blocks = max(1, blocks, math.ceil(total / shards / block_bytes))
     dealt = packed.select(
         "row",
         size_of(own_text).alias("size"),
         F.pmod(F.xxhash64(own_key), F.lit(shards)).cast("int").alias("shard"),
-        # rows that share a key (or have none) are spread by their text
-        F.pmod(F.xxhash64(F.lit(1), own_key, F.length(own_text)), F.lit(blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.lit(1), own_key, own_text), F.lit(blocks)).cast("int").alias("block"),
     )
     path = new_table_path(spark, "layout")
-    together = dealt.repartition("shard", "block").withColumn("place", F.monotonically_increasing_id())
+    sorted_blocks = dealt.repartition("shard", "block").sortWithinPartitions("shard", "block")
+    together = sorted_blocks.withColumn("place", F.monotonically_increasing_id())
     together.write.partitionBy("shard", "block").parquet(path)
     return Layout(path, together.schema)
 
@@ -207,52 +214,47 @@ def _sizes(rows: DataFrame, shard: str, shards: int) -> list[int]:
 
 
 def rewrite(spark: SparkSession, layout: Layout, planned: DataFrame) -> DataFrame:
-    """Rewrite the blocks that lose rows; the others keep their files. Gives all rows with their new shard.
+    """Rewrite the blocks that lose rows; the others keep their files. Gives all rows with ``target`` and ``slot`` in it.
 
-    A block all of whose rows get the same shard keeps its files and is only listed under that shard.
+    A block all of whose rows get the same shard keeps its files; its rows find target and slot in a table with one row per block
+    (a row's slot is that of its block plus its place inside). Slots run by (old shard, block, place) within a target. Only texts of
+    divided blocks are shuffled: the flow has fewer arcs than old and new shards together, an arc ends in one block and a refinement
+    touches one block per shard, so their number does not grow with the data.
     """
     old = layout.read(spark)
-    blocks = planned.groupBy("shard", "block").agg(
-        F.min("target").alias("low"), F.max("target").alias("high"), F.max("refined").alias("refined")
+    parts = planned.groupBy("shard", "block", "target").agg(F.count("*").alias("n"), F.min("place").alias("first_place"))
+    in_block = Window.partitionBy("shard", "block")
+    before = Window.partitionBy("target").orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = save_stage(  # one row per block, and some more for divided ones
+        parts.withColumn("divided", F.count("*").over(in_block) > 1).withColumn(
+            "first_slot", F.coalesce(F.sum("n").over(before), F.lit(0))
+        ),
+        "parts",
     )
-    blocks = save_stage(blocks.withColumn("divided", (F.col("low") != F.col("high")) | F.col("refined")), "blocks")
-    # Both tables below are bounded by the number of shards: the flow has fewer arcs than old and new shards together,
-    # an arc ends in one block, a refinement touches one block per shard, and targets of whole blocks come in runs.
-    divided = F.broadcast(blocks.filter("divided").select("shard", "block"))
-    runs = F.broadcast(
-        blocks.filter("not divided")
-        .groupBy("shard", F.col("low").alias("target"))
-        .agg(F.min("block").alias("first"), F.max("block").alias("last"))
+    whole_blocks = parts.filter("not divided").select("shard", "block", "target", "first_place", "first_slot")
+    unmoved = old.join(whole_blocks, ["shard", "block"])
+    unmoved = unmoved.withColumn("slot", F.col("first_slot") + F.col("place") - F.col("first_place"))
+
+    divided = parts.filter("divided").select("shard", "block", "target", "first_slot")
+    inside = Window.partitionBy("target", "shard", "block").orderBy("place")
+    targets = planned.join(divided, ["shard", "block", "target"]).select(
+        "shard", "block", "place", "target", (F.col("first_slot") + F.row_number().over(inside) - 1).alias("slot")
     )
-    targets = planned.join(divided, ["shard", "block"]).select("shard", "block", "place", "target")
+    cut = old.join(divided.select("shard", "block").distinct(), ["shard", "block"], "left_semi")
+    moved = cut.join(targets, ["shard", "block", "place"])
     new_path = new_table_path(spark, "layout")
-    moved = old.join(divided, ["shard", "block"]).join(targets, ["shard", "block", "place"])
     moved.repartition("target", "shard", "block").write.partitionBy("target").parquet(new_path)
-    unmoved = old.join(divided, ["shard", "block"], "left_anti").join(runs, "shard").filter("block between first and last")
-    columns = ["row", "size", "shard", "block", "place", "target"]
+    columns = ["row", "size", "shard", "block", "place", "target", "slot"]
     return unmoved.select(*columns).unionByName(spark.read.schema(moved.schema).parquet(new_path).select(*columns))
 
 
-def with_slots(rows: DataFrame) -> DataFrame:
-    """Add ``slot``: 0, 1, 2 ... within each new shard, without a window over a whole shard."""
-    before = Window.partitionBy("target").orderBy("shard", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy("target", "shard", "block")
-        .count()
-        .select("target", "shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first_slot"))
-    )
-    inside = Window.partitionBy("target", "shard", "block").orderBy("place")
-    numbered = rows.withColumn("number", F.row_number().over(inside) - 1)
-    slot = F.col("first_slot") + F.col("number")
-    return numbered.join(offsets, ["target", "shard", "block"]).withColumn("slot", slot).drop("first_slot", "number")
-
-
 def reshard(
     docs: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
     old_shards: int = OLD_SHARDS,
     shards: int = SHARDS,
+    blocks: int = BLOCKS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """All rows of ``docs`` in ``shards`` shards of near equal bytes: row (all columns as a struct), size, shard, slot.
@@ -263,9 +265,8 @@ def reshard(
     other columns keep their names inside ``row``.
     """
     spark = docs.sparkSession
-    layout = write_layout(docs, old_shards, block_bytes, doc_id, text)
+    layout = write_layout(docs, old_shards, blocks, block_bytes, doc_id, text)
     rows = layout.read(spark)
     total = rows.agg(F.sum("size")).first()[0] or 0
     planned = plan(rows, equal_capacities(total, shards))
-    placed = with_slots(rewrite(spark, layout, planned))
-    return placed.select("row", "size", F.col("target").alias("shard"), "slot")
+    return rewrite(spark, layout, planned).select("row", "size", F.col("target").alias("shard"), "slot")

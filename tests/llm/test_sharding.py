@@ -61,8 +61,8 @@ def check(rows, got, shards, tolerance):
 def test_reshard(spark, frame):
     rng = random.Random(6)
     rows = [(i, "x" * rng.randint(0, 400)) for i in range(3000)] + [(None, "same")] * 20 + [(7, "again")] * 3 + [(8, None), (9, "")]
-    for block_bytes in (1 << 30, 5_000):
-        got = sharding.reshard(frame(rows), old_shards=5, shards=7, block_bytes=block_bytes).collect()
+    for blocks, block_bytes in ((1, 1 << 30), (3, 5_000), (sharding.BLOCKS, sharding.BLOCK_BYTES)):
+        got = sharding.reshard(frame(rows), old_shards=5, shards=7, blocks=blocks, block_bytes=block_bytes).collect()
         check(rows, got, 7, 900)
 
 
@@ -74,18 +74,19 @@ def test_long_texts_and_empty_table(frame, hard_rows):
 
 def test_untouched_blocks_keep_their_files(spark, frame):
     rows = [(i, "y" * 100) for i in range(2000)]
-    written = sharding.write_layout(frame(rows), 4, 4_000)
+    written = sharding.write_layout(frame(rows), 4)  # with the query's own rule of blocks
     path, layout = written.path, written.read(spark)
     total = layout.agg(F.sum("size")).first()[0]
     planned = sharding.plan(layout, sharding.equal_capacities(total, 5))
     moved = planned.filter("shard <> target").agg(F.sum("size")).first()[0]
     assert moved <= total / 5 * 1.05
-    blocks = planned.groupBy("shard", "block").agg(
-        (F.count_distinct("target") > 1).alias("cut"), F.bool_or("refined").alias("refined")
-    )
-    divided = blocks.filter("cut or refined").count()
-    assert 0 < divided < blocks.count() / 2  # only these are rewritten
+    divided = planned.groupBy("shard", "block").agg(F.count_distinct("target").alias("n")).filter("n > 1").count()
+    assert 0 < divided <= 4 + 5 + 5 * sharding.REFINEMENTS < planned.select("shard", "block").distinct().count() / 2
     out = sharding.rewrite(spark, written, planned)
     assert out.count() == 2000 and out.select("row.doc_id").distinct().count() == 2000
-    kept = [f for f in out.inputFiles() if path in f]
-    assert kept  # the other blocks are read from their old files
+    new_files = [f for f in out.inputFiles() if path not in f]
+    assert len(new_files) < len(out.inputFiles())
+    cut = planned.join(planned.groupBy("shard", "block").agg(F.count_distinct("target").alias("n")).filter("n > 1"), ["shard", "block"])
+    assert spark.read.parquet(*new_files).count() == cut.count()  # rows of all other blocks are read from their old files
+    gaps = layout.groupBy("shard", "block").agg((F.max("place") - F.min("place") + 1 - F.count("*")).alias("gap"))
+    assert gaps.filter("gap <> 0").isEmpty()
