@@ -466,7 +466,8 @@ def similar_documents(
         "region", "row", F.col("chosen.doc_id").alias("v_id"), F.col("chosen.text_hash").alias("v_hash")
     )
     same = F.col("doc_id").eqNullSafe(F.col("v_id")) & (F.col("text_hash") == F.col("v_hash"))
-    read = texts.join(save_stage(asked, "asked"), same).groupBy("row").agg(  # identical rows are one
+    # always a sorted join: a plan that switches with the number of regions would need more shuffle only at large sizes
+    read = texts.join(save_stage(asked, "asked").hint("merge"), same).groupBy("row").agg(  # identical rows are one
         F.first("region").alias("region"), F.first("text").cast("binary").alias("text")
     )
     members = read.select("region", "row", "text").mapInArrow(
