@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sitewright.llm.pieces import CACHE_ENTRIES, SPACE, Remembered
 from sitewright.llm.texts import narrow, whole
+from sitewright.operators.joins import SALTS, lookup
 from sitewright.sources.tables import save_stage
 
 LIMIT = 4096
@@ -70,6 +71,28 @@ def count_partitions(proto: bytes):
     return run
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = narrow(docs, doc_id=doc_id, text=text)
+    content = rows.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), normalized("text").alias("content"))
+    holder = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("holder")
+    return content.select("doc_id", "n_bytes", holder, F.unhex(F.sha2("content", 256)).alias("digest"), "content")
+
+
+def fill_cache(docs: DataFrame, proto: bytes, cache: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode each distinct text that has no stored count and append its count; returns doc_id, n_bytes, holder, digest per row."""
+    spark = docs.sparkSession
+    version = tokenizer_version(proto)
+    keyed = _keyed(docs, doc_id, text)
+    keys = save_stage(keyed.drop("content"), "token-keys")
+    known = stored_counts(spark, cache, version)
+    misses = keys.groupBy("digest").agg(F.min("holder").alias("holder")).join(known, "digest", "left_anti")
+    place = ["digest", "holder"]  # a sorted join, so that the join's shuffle serves the duplicates too
+    texts = keyed.select(*place, "content").join(misses.hint("merge"), place, "left_semi").dropDuplicates(place).drop("holder")
+    counted = texts.mapInArrow(count_partitions(proto), "digest binary, n_tokens long")
+    counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    return keys
+
+
 def count_tokens(
     docs: DataFrame, proto: bytes, cache: str, doc_id: str = "doc_id", text: str = "text", limit: int = LIMIT
 ) -> DataFrame:
@@ -80,22 +103,13 @@ def count_tokens(
     appended. The append is one atomic Spark job, so a lost executor or a failed job leaves no partial counts.
 
     Null counts as empty (0 bytes, 0 tokens). Repeated rows come out each, null doc_ids stay null, an empty table gives no
-    rows, further columns are ignored. Equal texts are reduced before and after the shuffle, however many there are.
+    rows, further columns are ignored. Of equal texts the smallest doc_id is chosen on digests alone, combined before the shuffle;
+    texts are then dealt by digest and doc_id, so copies of one text under different ids meet in no task (repeated rows of
+    one id do). Counts go back to the rows by a join that spreads frequent digests.
     """
-    spark = docs.sparkSession
-    version = tokenizer_version(proto)
-    rows = narrow(docs, doc_id=doc_id, text=text)
-    content = rows.select("doc_id", F.octet_length(whole("text")).cast("long").alias("n_bytes"), normalized("text").alias("content"))
-    keyed = content.withColumn("digest", F.unhex(F.sha2("content", 256)))
-    keys = save_stage(keyed.select("doc_id", "n_bytes", "digest"), "token-keys")
-
-    known = stored_counts(spark, cache, version)
-    misses = keys.select("digest").distinct().join(known, "digest", "left_anti")
-    texts = keyed.select("digest", "content").join(misses, "digest", "left_semi").dropDuplicates(["digest"])
-    counted = texts.mapInArrow(count_partitions(proto), "digest binary, n_tokens long")
-    counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-
-    counts = stored_counts(spark, cache, version)
-    return keys.join(counts, "digest").select(
+    keys = fill_cache(docs, proto, cache, doc_id, text)
+    counts = stored_counts(docs.sparkSession, cache, tokenizer_version(proto))
+    asked, counts = (x.withColumn("digest", F.hex("digest")) for x in (keys, counts))  # frequent items need strings
+    return lookup(asked, counts, "digest", ["doc_id"], how="inner", salts=SALTS).select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
