@@ -54,7 +54,10 @@ def gram_codes(pieces: list[tuple[int, str]], letters):
 
 @dataclass
 class LanguageModel:
-    """Likelihood of every kept n-gram in every language; n-grams with the same profile share a class."""
+    """Likelihood of every kept n-gram in every language; n-grams with the same profile share a class.
+
+    Shipped to workers, so it refers to nothing outside this subpackage.
+    """
 
     languages: list[str]
     codes: object  # sorted n-gram codes
@@ -62,46 +65,6 @@ class LanguageModel:
     profiles: object  # (classes, languages): likelihoods up to a factor per class
     common: int  # position of the language with most n-grams
 
-    @classmethod
-    def fit(
-        cls,
-        docs: DataFrame,
-        text: str = "text",
-        lang: str = "lang",
-        key: str = "doc_id",
-        rows_per_language: int = ROWS_PER_LANGUAGE,
-        grams_per_language: int = GRAMS_PER_LANGUAGE,
-    ) -> LanguageModel:
-        """Fit on a bounded sample: about ``rows_per_language`` rows of each language, all of rarer ones."""
-        import numpy as np
-
-        rows = narrow(docs, key=key, text=text, lang=lang).filter("text is not null and lang is not null")
-        sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-        if not sizes:
-            return cls([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)), 0)
-        shares = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, rows_per_language / n))])
-        place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        sample = rows.filter(place < shares[F.col("lang")]).select("lang", "text")
-        counts = save_stage(
-            sample.mapInArrow(count_partitions(), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")),
-            "grams",
-        )
-        best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-        top = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= grams_per_language)
-        found = counts.join(top.select("code").distinct(), "code", "left_semi").collect()  # languages times kept n-grams
-        totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
-        languages = sorted(sizes)
-        codes = np.array(sorted({r["code"] for r in found}), np.int64)
-        table = np.zeros((len(codes), len(languages)))
-        column = {name: i for i, name in enumerate(languages)}
-        for r in found:
-            table[np.searchsorted(codes, r["code"]), column[r["lang"]]] = r["n"]
-        size = np.array([totals.get(name, 0) for name in languages], float)
-        logs = np.log((table + SMOOTHING) / (size + SMOOTHING * (len(codes) + 1)))
-        logs = np.round((logs - logs.max(axis=1, keepdims=True, initial=-np.inf)) / STEP) * STEP
-        profiles, classes = np.unique(logs, axis=0, return_inverse=True)
-        return cls(languages, codes, classes.reshape(-1), np.exp(profiles), int(np.argmax(size)))
-
     def histograms(self, owners, codes, rows: int):
         """(rows, classes): how often the n-grams of each class occur."""
         import numpy as np
@@ -179,6 +142,45 @@ def count_partitions():
     return run
 
 
+def fit_model(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    key: str = "doc_id",
+    rows_per_language: int = ROWS_PER_LANGUAGE,
+    grams_per_language: int = GRAMS_PER_LANGUAGE,
+) -> LanguageModel:
+    """Fit on a bounded sample: about ``rows_per_language`` rows of each language, all of rarer ones."""
+    import numpy as np
+
+    rows = narrow(docs, key=key, text=text, lang=lang).filter("text is not null and lang is not null")
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    if not sizes:
+        return LanguageModel([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 0)), 0)
+    shares = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, rows_per_language / n))])
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.filter(place < shares[F.col("lang")]).select("lang", "text")
+    counts = save_stage(
+        sample.mapInArrow(count_partitions(), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")),
+        "grams",
+    )
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
+    top = counts.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= grams_per_language)
+    found = counts.join(top.select("code").distinct(), "code", "left_semi").collect()  # languages times kept n-grams
+    totals = {r[0]: r[1] for r in counts.groupBy("lang").agg(F.sum("n")).collect()}
+    languages = sorted(sizes)
+    codes = np.array(sorted({r["code"] for r in found}), np.int64)
+    table = np.zeros((len(codes), len(languages)))
+    column = {name: i for i, name in enumerate(languages)}
+    for r in found:
+        table[np.searchsorted(codes, r["code"]), column[r["lang"]]] = r["n"]
+    size = np.array([totals.get(name, 0) for name in languages], float)
+    logs = np.log((table + SMOOTHING) / (size + SMOOTHING * (len(codes) + 1)))
+    logs = np.round((logs - logs.max(axis=1, keepdims=True, initial=-np.inf)) / STEP) * STEP
+    profiles, classes = np.unique(logs, axis=0, return_inverse=True)
+    return LanguageModel(languages, codes, classes.reshape(-1), np.exp(profiles), int(np.argmax(size)))
+
+
 def predict_partitions(model: LanguageModel, penalty: float):
     """Worker function: (row, text) -> row, lang_pred, score, mixture."""
 
@@ -243,7 +245,7 @@ def held_out(doc_id: str = "doc_id"):
 
 def fit_on_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> LanguageModel:
     """A model from the labelled documents that are not held out; rows without id are left out as well."""
-    return LanguageModel.fit(docs.filter(F.col(doc_id).isNotNull() & ~held_out(doc_id)), text, lang, doc_id)
+    return fit_model(docs.filter(F.col(doc_id).isNotNull() & ~held_out(doc_id)), text, lang, doc_id)
 
 
 def known_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:

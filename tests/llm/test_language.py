@@ -15,7 +15,7 @@ FR = "le renard brun et les autres chiens de cette maison couraient avec ce viei
 @pytest.fixture(scope="module")
 def model(spark):
     rows = [(i, t * 3, lang) for i, (t, lang) in enumerate([(EN, "en"), (DE, "de"), (FR, "fr")] * 5)]
-    return language.LanguageModel.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    return language.fit_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
 def test_hard_rows(frame, hard_rows, model):
@@ -64,7 +64,7 @@ def test_long_text_in_slices(frame, model, monkeypatch):
 
 
 def test_nothing_to_learn(spark, frame):
-    empty = language.LanguageModel.fit(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    empty = language.fit_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in language.identify(frame([(1, "text"), (2, None)]), empty).collect()} == {"und"}
 
 
