@@ -249,5 +249,10 @@ def fit_on_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def known_language(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with any recognizable language, mixed or not; the others are rejected."""
+    """The rows of ``docs`` with any recognizable language, mixed or not; the others are rejected.
+
+    A model without languages (no labelled document) recognizes nothing, so then only texts without a letter are rejected.
+    """
+    if not model.languages:
+        return docs.filter(F.col(text).rlike(r"\p{L}"))
     return identify(docs, model, text).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

@@ -74,3 +74,9 @@ def test_held_out_accuracy(spark):
     found = language.identify(docs, model).filter(language.held_out("row.doc_id"))
     rows = found.select("row.lang", "lang_pred").collect()
     assert len(rows) > 200 and sum(a == b for a, b in rows) / len(rows) > 0.97
+
+
+def test_without_labels_texts_with_letters_stay(spark, frame, hard_rows):
+    none = language.fit_model(spark.createDataFrame([], "doc_id long, text string, lang string"))
+    kept = language.known_language(frame(hard_rows), none).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(x for x in hard_rows if any(c.isalpha() for c in x[1] or ""))
