@@ -30,17 +30,18 @@ def _small_star(edges: DataFrame, salts: int) -> DataFrame:
     return moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct()
 
 
-def _is_settled(star: DataFrame) -> bool:
-    """Every larger end has one smaller end, and no smaller end is a larger one."""
-    larger = star.groupBy("hi").count()
-    smaller = star.select(F.col("lo").alias("hi")).distinct()
-    again = larger.join(smaller, "hi", "left_semi").select("hi")
-    return larger.filter("count > 1").select("hi").unionByName(again).isEmpty()
+def _state(star: DataFrame) -> tuple[bool, bool]:
+    """(settled, hub), from one aggregate over the nodes.
 
-
-def _has_hub(star: DataFrame) -> bool:
-    ends = star.select(F.explode(F.array("hi", "lo")).alias("node"))
-    return not ends.groupBy("node").count().filter(F.col("count") > HUB).isEmpty()
+    Settled: every larger end has one smaller end, and no smaller end is a larger one. Hub: a node has more than ``HUB`` edges.
+    """
+    ends = star.select(
+        F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("up")), F.struct("lo", F.lit(0).alias("up")))).alias("end")
+    )
+    nodes = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count("*").alias("edges"))
+    moving = (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("edges") > 1))
+    row = nodes.agg(F.max(moving).alias("moving"), F.max(F.col("edges") > HUB).alias("hub")).first()
+    return not row["moving"], bool(row["hub"])
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -54,8 +55,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     star = save_stage(
         edges.filter(x != y).select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo")).distinct(), "edges"
     )
-    while not _is_settled(star):
-        salts = SALTS if _has_hub(star) else 0
+    while True:
+        settled, hub = _state(star)
+        if settled:
+            break
+        salts = SALTS if hub else 0
         star = save_stage(_small_star(_large_star(star, salts), salts), "edges")
     return star.select(F.col("hi").alias("node"), F.col("lo").alias("root")).unionByName(
         star.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()

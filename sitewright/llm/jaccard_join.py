@@ -247,24 +247,49 @@ class Sets:
 
 
 def index_links(region: Sets):
-    """Links that connect what is linked inside the region: breadth first, sets compared by an index of shingles."""
+    """Links that connect what is linked inside the region: breadth first, candidates from an index of rare shingles.
+
+    A set of n shingles shares at least c = ceil(num / den * n) of them with a set it is linked to. With all shingles in one order, the
+    rarest first, two linked sets therefore share one of the first n - c + 1 of each; only these are indexed. Candidates are
+    compared whole.
+    """
     import numpy as np
 
-    known, number = np.unique(np.concatenate(region.sets), return_inverse=True)
-    holders = np.repeat(np.arange(len(region.sets)), region.sizes)[np.argsort(number, kind="stable")]
-    often = np.bincount(number, minlength=len(known))
-    begins, ends = np.cumsum(often) - often, np.cumsum(region.sizes)
-    left = np.ones(len(region.sets), bool)
+    num, den = region.similarity
+    _, number, often = np.unique(np.concatenate(region.sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    owner, ends = np.repeat(np.arange(len(region.sets)), region.sizes), np.cumsum(region.sizes)
+    least = -(-num * region.sizes // den)
+    ranks = rank[number]
+    ranks = ranks[np.lexsort((ranks, owner))]
+    starts = ends - region.sizes
+    place = np.arange(len(ranks)) - starts[owner]
+    first = place <= (region.sizes - least)[owner]
+    held, holders = ranks[first], owner[first]
+    order = np.argsort(held, kind="stable")
+    held, holders = held[order], holders[order]
+    mine, left = np.zeros(len(often), bool), np.ones(len(region.sets), bool)
     for start in range(len(region.sets)):
         reached = [start] if left[start] else []
         left[start] = False
         while reached and left.any():
             x = reached.pop()
-            own = number[ends[x] - region.sizes[x] : ends[x]]
-            n = often[own]
-            at = np.repeat(begins[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            shared = np.bincount(holders[at], minlength=len(region.sets))
-            found = np.flatnonzero(left & region.linked(shared, region.sizes + region.sizes[x] - shared))
+            own = ranks[starts[x] : ends[x]]
+            prefix = own[: region.sizes[x] - least[x] + 1]
+            lows, highs = np.searchsorted(held, prefix), np.searchsorted(held, prefix, side="right")
+            near = np.zeros(len(left), bool)
+            for low, high in zip(lows.tolist(), highs.tolist(), strict=True):
+                near[holders[low:high]] = True
+            near = np.flatnonzero(near & left)
+            if not len(near):
+                continue
+            n = region.sizes[near]
+            at = np.repeat(starts[near] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            mine[own] = True
+            shared = np.add.reduceat(mine[ranks[at]].astype(np.int64), np.cumsum(n) - n)
+            mine[own] = False
+            found = near[region.linked(shared, n + region.sizes[x] - shared)]
             left[found] = False
             for y in found:
                 yield region.ids[x], region.ids[y]
@@ -276,8 +301,8 @@ def voronoi_links(region: Sets, pivots: int = PIVOTS, leaf: int = LEAF_SETS):
 
     Every set belongs to its nearest pivot (its home). If x is at home with p and y is linked to x, then d(y, p) <= d(y, home of y) + 2r
     for the link radius r, so y is copied to every region within that window, and each linked pair meets in a region. Sets linked to a
-    pivot are one component: a region of such sets alone is done. Others are joined in the same way, unless their
-    region hardly shrinks; then, and if it is small, its sets are compared by an index.
+    pivot are one component: a region of such sets alone is done. Others are joined in the same way. If one of them
+    hardly shrinks, or if the region is small, its sets are compared by an index.
     """
     import numpy as np
 
@@ -293,15 +318,12 @@ def voronoi_links(region: Sets, pivots: int = PIVOTS, leaf: int = LEAF_SETS):
             if x != i:
                 yield region.ids[i], region.ids[x]
     window = distance <= distance.min(axis=0) + 2 * region.radius + 1e-9
-    for p in range(len(chosen)):
-        if linked[p][window[p]].all():
-            continue
-        inside = np.flatnonzero(window[p])
-        child = region.part(inside)
-        if len(inside) > 0.75 * len(region.ids):
-            yield from index_links(child)
-        else:
-            yield from voronoi_links(child, pivots, leaf)
+    open_pivots = [p for p in range(len(chosen)) if not linked[p][window[p]].all()]
+    if any(window[p].sum() > 0.75 * len(region.ids) for p in open_pivots):  # pivots do not split it: one index of the whole
+        yield from index_links(region)
+        return
+    for p in open_pivots:
+        yield from voronoi_links(region.part(np.flatnonzero(window[p])), pivots, leaf)
 
 
 def cell_partitions(similarity: tuple[int, int]):
