@@ -35,9 +35,8 @@ def _state(star: DataFrame) -> tuple[bool, bool]:
 
     Settled: every larger end has one smaller end, and no smaller end is a larger one. Hub: a node has more than ``HUB`` edges.
     """
-    ends = star.select(
-        F.explode(F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("up")), F.struct("lo", F.lit(0).alias("up")))).alias("end")
-    )
+    sides = [F.struct(F.col(side).alias("node"), F.lit(up).alias("up")) for side, up in (("hi", 1), ("lo", 0))]
+    ends = star.select(F.explode(F.array(*sides)).alias("end"))
     nodes = ends.groupBy("end.node").agg(F.sum("end.up").alias("up"), F.count("*").alias("edges"))
     moving = (F.col("up") > 1) | ((F.col("up") == 1) & (F.col("edges") > 1))
     row = nodes.agg(F.max(moving).alias("moving"), F.max(F.col("edges") > HUB).alias("hub")).first()
