@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from sitewright.session import new_table_path
+from sitewright.sources.delimited import read_delimited
 
 
 def read_parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,17 +28,14 @@ def read_spread(spark: SparkSession, folder: str, name: str, key: str) -> DataFr
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str, sep: str = ",") -> DataFrame:
-    """Delimited files with header, whose fields may hold quotes, separators and line breaks."""
-    return spark.read.csv(
-        path, schema=schema, sep=sep, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True
-    )
+    """Delimited files with header, whose quoted fields may hold quotes, separators and line breaks; a file is read by many tasks."""
+    return read_delimited(spark, path, StructType.fromDDL(schema) if isinstance(schema, str) else schema, sep)
 
 
 def write_table(df: DataFrame, path: str, sep: str = ",") -> str:
     """Write delimited files with header.
 
-    Existing data are overwritten, so never pass the path the frame was read from; use a new path. Records
-    with line breaks cannot be split, so parallel reading needs many files: one is
+    Existing data are overwritten, so never pass the path the frame was read from; use a new path. One file is
     written per partition.
     """
     df.write.mode("overwrite").csv(path, sep=sep, header=True, quote='"', escape='"', emptyValue='""')
