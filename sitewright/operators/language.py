@@ -16,7 +16,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitewright.functions.words import trigrams
+from sitewright.functions.trigrams import best_class, count_partitions
 from sitewright.operators.aggregates import value_counts
 from sitewright.sources.tables import save_stage
 
@@ -34,9 +34,10 @@ class LanguageProfile:
     def fit(cls, df: DataFrame, text: str, language: str, per_language: int = 300) -> LanguageProfile:
         spark = df.sparkSession
         df = df.filter(F.col(language).isNotNull())
-        found = df.select(F.col(language).alias("lang"), F.explode(trigrams(F.col(text))).alias("term"))
+        lowered = df.select(F.col(language).alias("lang"), F.lower(text).cast("binary").alias("lower"))
+        found = lowered.mapInArrow(count_partitions, "lang string, term string, n long")
         # counted once; of these the planner keeps the first per language in every task before it sorts a language
-        counts = save_stage(found.groupBy("lang", "term").agg(F.count("*").alias("n")), "trigrams")
+        counts = save_stage(found.groupBy("lang", "term").agg(F.sum("n").alias("n")), "trigrams")
         frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
         top = counts.withColumn("place", F.row_number().over(frequent)).filter(F.col("place") <= per_language)
         rows = counts.join(top.select("term").distinct(), "term", "left_semi").collect()
@@ -74,12 +75,9 @@ class LanguageProfile:
 
     def transform(self, df: DataFrame, text: str, output: str = "language") -> DataFrame:
         """Add the language code; texts without any known trigram (or null) give 'unknown'."""
-        grams = df.withColumn("_grams", F.coalesce(trigrams(F.col(text)), F.array().cast("array<string>")))
-        scored = self.model.transform(self.vectorizer.transform(grams))
-        known = F.exists("_grams", lambda gram: gram.isin(self.terms))
-        code = F.element_at(F.array(*[F.lit(c) for c in self.codes]), F.col("_code").cast("int") + 1)
-        named = scored.withColumn(output, F.when(known, code).otherwise(F.lit(UNKNOWN)))
-        return named.drop("_grams", "_tf", "_code", "_raw", "_chance")
+        weights, prior = self.model.theta.toArray(), self.model.pi.toArray()
+        detect = F.arrow_udf(best_class(self.terms, self.codes, weights, prior, UNKNOWN), "string")
+        return df.withColumn(output, detect(F.lower(text).cast("binary")))
 
 
 def language_table(df: DataFrame, text: str, profile: LanguageProfile) -> DataFrame:
