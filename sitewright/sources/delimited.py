@@ -7,24 +7,37 @@ quoted field, and each range then finds its records alone. Only what crosses a b
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sitewright.session import new_table_path
 
+register_pickle_by_value(sys.modules[__name__])  # workers need no copy of this package
+
 WHOLE, HEAD, INNER, TAIL = range(4)  # a record; the end of one, a part of one, the begin of one that crosses borders
 PIECES = "file long, block long, kind int, first boolean, record string"
+PART_BYTES = 2_000_000  # lines held as Python texts at once, about; a batch may have 64 MB
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in runs of about ``PART_BYTES``."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PART_BYTES // max(batch.nbytes, 1))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def piece_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Worker function: lines (file, block, odd, value) in order -> pieces (file, block, kind, first, record).
 
     ``odd`` says that the range begins inside a quoted field; ``first`` marks the first record of a file. Memory holds
-    one batch and the record that is open.
+    one batch, a part of it as texts, and the record that is open.
     """
     import pyarrow.compute as pc
 
@@ -35,7 +48,7 @@ def piece_partitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def piece(kind):
         return (*place, kind, first, "\n".join(open_lines))
 
-    for batch in batches:
+    for batch in _parts(batches):
         made = []
         quotes = pc.count_substring(batch.column(3), '"').to_pylist()
         columns = [batch.column(i).to_pylist() for i in range(4)]

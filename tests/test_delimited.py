@@ -70,3 +70,29 @@ def test_pieces_of_many_files_in_one_task(spark):
         (2, 0, 0, True, "h"), (2, 0, 3, False, '"t'),
     ]
     assert PIECES.count(",") == 4
+
+
+def test_a_large_batch_is_read_in_parts():
+    import pyarrow as pa
+
+    lines = [str(i) * 300 + ('"' if i % 5 == 0 else "") for i in range(6000)]
+    n = len(lines)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * n), pa.array([0] * n), pa.array([False] * n), pa.array(lines)], names=["file", "block", "odd", "value"]
+    )
+    out = list(piece_partitions(iter([batch])))
+    assert len(out) > 2 and max(b.nbytes for b in out) < 4_000_000
+    whole = [tuple(r.values()) for b in piece_partitions(batch.slice(i, 1) for i in range(n)) for r in b.to_pylist()]
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == whole
+    assert "\n".join(r[4] for r in whole) == "\n".join(lines)
+
+
+def test_workers_need_no_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import pickle, sys; pickle.load(sys.stdin.buffer)"
+    done = subprocess.run([sys.executable, "-I", "-c", code], input=cloudpickle.dumps(piece_partitions), capture_output=True, cwd=tmp_path, timeout=100)
+    assert done.returncode == 0, done.stderr.decode()
