@@ -114,3 +114,18 @@ def test_a_document_of_one_word_changes_nothing():
     assert np.array_equal(got[0], inner) and np.array_equal(got[1], outer)
     joined = wv.train_codes(codes, np.array([2]), inner, outer, 2, (0.1, 0.1), (1,))
     assert not np.array_equal(joined[1], outer)
+
+
+def test_blocks_are_not_put_into_few_tasks(spark):
+    blocks = spark.createDataFrame([(i % 9, str(i)) for i in range(90)], "block int, word string")
+    pairs = wv.by_block(blocks, "block", 9).groupBy("block").cogroup(wv.by_block(blocks, "block", 9).groupBy("block"))
+
+    def place(left, right):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        return pa.table({"block": left.column("block")[:1], "task": pa.array([TaskContext.get().partitionId()], pa.int32())})
+
+    found = pairs.applyInArrow(place, "block int, task int").collect()
+    assert sorted(r.block for r in found) == list(range(9))
+    assert len({r.task for r in found}) >= 6  # the planner put all of these few bytes into one task
